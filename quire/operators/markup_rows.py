@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions.text import BLANK, clean_text, decode_entities
-from quire.rules import DEFAULT, Rules
+from quire.rules import DEFAULT, HEADER_ENDS, Rules
 
 
 def token_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -82,7 +82,7 @@ def with_title(
         return F.coalesce(*[F.get(found, F.lit(0)) for found in (page_title, headings, bold)])
 
     spans = markup.with_spans(
-        df, markup.mark_pattern(["title", "h1", "h2", "b", "strong", "p"]), bare, strip=False
+        df, markup.mark_pattern(["title", "h1", "h2", "b", "strong", *HEADER_ENDS]), bare, strip=False
     )
     otherwise = F.lit(fallback) if isinstance(fallback, str) else fallback
     return markup.without_temporaries(

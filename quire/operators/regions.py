@@ -22,7 +22,7 @@ from quire.functions.arrays import (
     strings,
 )
 from quire.functions.text import py_strip
-from quire.rules import DEFAULT, VOID_TAGS, Rules
+from quire.rules import DEFAULT, HEADER_ENDS, VOID_TAGS, Rules
 
 
 def _cut_out(names: Column, texts: Column, spans: Column) -> Column:
@@ -228,14 +228,17 @@ def break_headers(df: DataFrame, bare: str = "bare", rules: Rules = DEFAULT) ->
     def insert(names: Column, texts: Column, spans: Column) -> Column:
         points = F.flatten(
             F.transform(
-                F.filter(spans, lambda s: (s["len"] > low) & (s["len"] < high)),
+                F.filter(
+                    spans, lambda s: s["tag"].isin(*rules.header_tags) & (s["len"] > low) & (s["len"] < high)
+                ),
                 lambda s: F.array(s["open"] * 2 + 1, _last_mark(names, s) * 2 + 2),
             )
         )
         ranges = F.transform(F.array_sort(points), lambda p: F.struct(p.alias("from"), p.alias("to")))
         return replace_ranges(markup.pieces_of(names, texts), ranges, note)
 
-    spans = markup.with_spans(df, markup.mark_pattern(rules.header_tags), bare)
+    # Block elements end a header that was never closed.
+    spans = markup.with_spans(df, markup.mark_pattern([*rules.header_tags, *HEADER_ENDS]), bare)
     return markup.without_temporaries(
         spans.withColumn(bare, markup.bound(["__names", "__texts", "__spans"], insert))
     )

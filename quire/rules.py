@@ -62,6 +62,9 @@ VOID_TAGS = (
 
 BLOCK_TAGS = ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br")
 
+# Block elements that end a bold passage nobody closed.
+HEADER_ENDS = ("p", "li", "td", "tr", "table", "div", "article", "section", "blockquote", "body")
+
 # An opening tag ends an open element of the same name unless one of these was opened in between.
 SELF_CLOSING_SCOPES = {
     "p": ("table", "td", "th", "li", "div", "ul", "ol", "dl", "article", "section", "nav", "blockquote", "body"),
