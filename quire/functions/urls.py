@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.arrays import let
 from quire.rules import CHAPTER_PREFIX, DEFAULT_IMAGE_SUFFIX, DEFAULT_IMAGE_TYPE, IMAGE_SUFFIXES
 
 # scheme, authority, path, query, fragment of a URL reference (RFC 3986, appendix B)
@@ -96,7 +95,3 @@ def media_type(file_name: Column) -> Column:
     """Media type from the extension."""
     return _by_suffix(file_name, IMAGE_SUFFIXES, DEFAULT_IMAGE_TYPE)
 
-
-def bind_url(base: Column, ref: Column) -> Column:
-    """resolve_url with both arguments bound once, for use inside larger expressions."""
-    return let(F.struct(base.alias("b"), ref.alias("r")), lambda v: resolve_url(v["b"], v["r"]))

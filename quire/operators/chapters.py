@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import markup, urls
@@ -12,6 +12,7 @@ from quire.functions.dates import display_date
 from quire.functions.text import escape_html, py_strip
 from quire.operators.content import content_length
 from quire.operators.ranking import numbered
+from quire.operators.settle import settled
 from quire.rules import DATE_CLASS, DEFAULT, ORDERS, STYLESHEET, TOC_SECTION, Rules
 
 
@@ -88,7 +89,7 @@ def build_chapters(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """
     clean = markup.strip_wrappers(F.col("content_html"))
     gated = docs.withColumn("content_html", clean).withColumn("__long", content_length(F.col("content_html")))
-    kept = gated.filter(F.col("__long") >= rules.min_chapter).drop("__long")
+    kept = settled(gated).filter(F.col("__long") >= rules.min_chapter).drop("__long")
     shown = display_date(F.col("raw_date_str"), F.col("date"), unknown=None)
     return kept.select(
         "doc_id",
@@ -146,12 +147,16 @@ def toc(chapters: DataFrame, spine_rows: DataFrame, collection: str = "collectio
     )
 
 
-def collection_metadata(
-    spark: SparkSession, run_date: dt.date, rules: Rules = DEFAULT, custom_title: str | None = None
+def with_metadata(
+    collections: DataFrame, run_date: dt.date, rules: Rules = DEFAULT, custom_title: str | None = None
 ) -> DataFrame:
-    """One row; the run date is an argument so that reruns agree."""
-    title = custom_title or f"{rules.collection_title} - {run_date:%Y-%m-%d}"
-    row = (f"{rules.identifier_prefix}-{run_date:%Y%m%d}", title, rules.language, rules.author, rules.publisher)
-    return spark.createDataFrame([row], "identifier string, title string, language string, author string, publisher string")
-
-
+    """Adds the descriptive columns of a collection; the run date is an argument so that reruns agree."""
+    return collections.withColumns(
+        {
+            "identifier": F.lit(f"{rules.identifier_prefix}-{run_date:%Y%m%d}"),
+            "title": F.lit(custom_title or f"{rules.collection_title} - {run_date:%Y-%m-%d}"),
+            "language": F.lit(rules.language),
+            "author": F.lit(rules.author),
+            "publisher": F.lit(rules.publisher),
+        }
+    )

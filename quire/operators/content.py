@@ -10,6 +10,7 @@ from quire.functions.text import py_strip
 from quire.operators import paragraphs as para
 from quire.operators import regions
 from quire.operators.markup_rows import is_plain_text
+from quire.operators.settle import settled
 from quire.rules import DEFAULT, Rules
 
 
@@ -49,9 +50,8 @@ def extract_content(
     )
     kept = kept.withColumn("content_html", content)
     total = F.aggregate("paragraphs", F.lit(0), lambda n, p: n + F.length(p))
-    return kept.withColumn(
-        "n_chars", F.when(plain, content_length(F.col("content_html"))).otherwise(total)
-    ).drop("bare", html)
+    sized = kept.withColumn("n_chars", F.when(plain, content_length(F.col("content_html"))).otherwise(total))
+    return settled(sized.drop("bare", html))
 
 
 def content_length(content_html: Column) -> Column:
@@ -65,8 +65,8 @@ def region_paragraphs(
     """(key, paragraphs): main region split at block tags, whitespace normalised; the smallest useful chain."""
     bare = pages.select(key, markup.skeleton(F.col(html)).alias("bare"))
     region = bare.transform(regions.main_region, "bare", rules)
-    return region.select(
-        key, para.split_paragraphs(region_text(F.col("bare"), rules), rules).alias("paragraphs")
+    return settled(
+        region.select(key, para.split_paragraphs(region_text(F.col("bare"), rules), rules).alias("paragraphs"))
     )
 
 

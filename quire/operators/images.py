@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup, urls
 from quire.functions.arrays import contains_any, let
+from quire.functions.text import plain_base64
 from quire.operators.regions import is_navigation_image
 from quire.rules import DEFAULT, Rules
 
@@ -28,21 +29,36 @@ def image_refs(
 
     Images without ``src`` and navigation images are left out; relative addresses are joined to the page's URL.
     """
-    images = F.filter(
-        F.transform(
-            markup.tokens(F.col(html)), lambda t, i: F.struct(i.cast("bigint").alias("pos"), t.alias("token"))
-        ),
+    tags = F.filter(
+        F.transform(markup.tokens(F.col(html)), lambda t, i: F.struct(i.alias("pos"), t.alias("token"))),
         lambda t: t["token"].rlike(r"(?i)^<img[\s/>]"),
     )
-    rows = pages.select(key, F.col(base).alias("base"), F.inline(images))
-    parts = rows.select(
-        key, "base", "pos", markup.attribute(F.col("token"), "src").alias("src"),
-        markup.attribute(F.col("token"), "alt").alias("alt"),
+    attributes = F.transform(
+        tags,
+        lambda t: F.struct(
+            t["pos"].cast("bigint").alias("pos"),
+            markup.attribute(t["token"], "src").alias("src"),
+            markup.attribute(t["token"], "alt").alias("alt"),
+        ),
     )
-    usable = parts.filter((F.col("src") != "") & ~is_navigation_image(F.col("src"), F.col("alt"), rules))
-    return usable.select(
-        key, "pos", "src", urls.absolute_url(F.col("base"), F.col("src")).alias("url")
-    ).withColumn("file_name", urls.image_file_name(F.col("url")))
+
+    def resolved(base_url: Column, found: Column) -> Column:
+        usable = F.filter(
+            found, lambda i: (i["src"] != "") & ~is_navigation_image(i["src"], i["alt"], rules)
+        )
+        return F.transform(
+            usable,
+            lambda i: let(
+                urls.absolute_url(base_url, i["src"]),
+                lambda url: F.struct(
+                    i["pos"].alias("pos"), i["src"].alias("src"), url.alias("url"),
+                    urls.image_file_name(url).alias("file_name"),
+                ),
+            ),
+        )
+
+    found = pages.select(key, F.col(base).alias("__base"), attributes.alias("__found"))
+    return found.select(key, F.inline(markup.bound(["__base", "__found"], resolved)))
 
 
 def wanted_urls(refs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -125,7 +141,7 @@ def with_rewritten_refs(
 
 def to_base64(images: DataFrame, data: str = "data") -> DataFrame:
     """I9"""
-    return images.withColumn(data, F.base64(F.col(data)))
+    return images.withColumn(data, plain_base64(F.col(data)))
 
 
 def from_base64(images: DataFrame, data: str = "data") -> DataFrame:

@@ -135,18 +135,22 @@ def document_links(
     """
     base_url = F.col(base) if base else F.lit(rules.site_base)
     found = index_pages.select(key, html, base_url.alias("base_url")).transform(anchors, html, with_dates)
-    rows = found.select(key, "base_url", F.inline(first_links(F.col("anchors"), rules)))
-    href = F.col("link.href")
-    raw = F.coalesce(F.col("link.raw_date"), F.lit("")) if with_dates else F.lit("")
-    return rows.select(
-        key,
-        F.col("pos").cast("bigint").alias("pos"),
-        "doc_id",
-        href.alias("href"),
-        F.col("link.text").alias("title"),
-        urls.absolute_url(F.col("base_url"), href).alias("url"),
-        (iso_date(raw) if with_dates else F.lit(None).cast("string")).alias("date"),
-        raw.alias("raw_date_str"),
-    )
-
-
+    found = found.withColumn("__links", first_links(F.col("anchors"), rules))
+
+    def finished(base_column: Column, kept: Column) -> Column:
+        def row(a: Column) -> Column:
+            link = a["link"]
+            raw = F.coalesce(link["raw_date"], F.lit("")) if with_dates else F.lit("")
+            return F.struct(
+                a["pos"].cast("bigint").alias("pos"),
+                a["doc_id"].alias("doc_id"),
+                link["href"].alias("href"),
+                link["text"].alias("title"),
+                urls.absolute_url(base_column, link["href"]).alias("url"),
+                (iso_date(raw) if with_dates else F.lit(None).cast("string")).alias("date"),
+                raw.alias("raw_date_str"),
+            )
+
+        return F.transform(kept, row)
+
+    return found.select(key, F.inline(markup.bound(["base_url", "__links"], finished)))

@@ -77,9 +77,8 @@ def compile_collection(
     docs = incremental.stored(known, content.select("doc_id", "content_html"))
     made = ch.build_chapters(docs, rules).withColumn("collection", F.lit(name))
     spine = ch.spine(made, order=order, exact_parallel=by_range)
-    return Collection(
-        made, spine, ch.toc(made, spine), ch.collection_metadata(known.sparkSession, run_date, rules)
-    )
+    sizes = spine.groupBy("collection").agg(F.count(F.lit(1)).alias("n_chapters"))
+    return Collection(made, spine, ch.toc(made, spine), ch.with_metadata(sizes, run_date, rules))
 
 
 def build(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import plain_base64
 from quire.sources.versioned import VersionedTable
 
 SCHEMA = (
@@ -65,14 +66,17 @@ def read_json_entries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("e.essay_id").alias("doc_id"), F.col("e.content_html").alias("content_html"), images.alias("images"))
 
 
-def write_json_entries(content: DataFrame, path: str) -> None:
-    """SNK2: interchange entries as JSON lines, image bytes in base64."""
+def json_entries(content: DataFrame) -> DataFrame:
+    """SNK2/I9: content rows in the interchange layout, image bytes in base64."""
     images = F.transform(
-        "images", lambda i: F.struct(i["filename"].alias("filename"), F.base64(i["data"]).alias("data"))
+        "images", lambda i: F.struct(i["filename"].alias("filename"), plain_base64(i["data"]).alias("data"))
     )
-    content.select(F.col("doc_id").alias("essay_id"), "content_html", images.alias("images")).write.mode(
-        "overwrite"
-    ).json(path)
+    return content.select(F.col("doc_id").alias("essay_id"), "content_html", images.alias("images"))
+
+
+def write_json_entries(content: DataFrame, path: str) -> None:
+    """SNK2: interchange entries as JSON lines."""
+    json_entries(content).write.mode("overwrite").json(path)
 
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
