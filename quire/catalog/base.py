@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.pages import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +30,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """For queries that parse markup or long text: see ``spread``."""
+    return spread(load(spark, sf_dir, table))
+
+
 # --- SQL side ------------------------------------------------------------------------------------------------
 
 _REST = """[^>"'']*(?:(?:"[^"]*"|''[^'']*'')[^>"'']*)*>"""

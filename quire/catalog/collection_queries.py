@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quire.catalog.base import REGISTRY_SQL, load, query, registry_table
+from quire.catalog.base import REGISTRY_SQL, load, load_spread, query, registry_table
 from quire.catalog.region_queries import _region_sql, _sql_escape
 from quire.functions import text, urls
 from quire.operators import chapters, images
@@ -17,7 +17,7 @@ _BODY = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
 
 def _content(spark, sf_dir):
     """Documents as stored content with registry fields; the language is the collection."""
-    docs = load(spark, sf_dir, "documents").select(
+    docs = load_spread(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.col("lang").alias("collection"),
         F.concat(F.lit("<p>"), text.escape_body_text(F.col("text")), F.lit("</p>")).alias("content_html"),
@@ -35,7 +35,7 @@ def enough_content(spark, sf_dir):
 
 @query("C2_escaped_text", f"SELECT doc_id, {_sql_escape('text')} AS escaped FROM documents")
 def escaped_text(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", text.escape_html(F.col("text")).alias("escaped"))
+    return load_spread(spark, sf_dir, "documents").select("doc_id", text.escape_html(F.col("text")).alias("escaped"))
 
 
 _SHOWN = "coalesce(nullif(raw_date_str, ''), nullif(date, ''))"
@@ -60,7 +60,7 @@ def chapter_pages(spark, sf_dir):
 )
 def chapters_with_body(spark, sf_dir):
     emptied = F.regexp_replace("html", F.lit(r"(?is)<body>.*$"), F.lit("<body> <br> </body>"))
-    return load(spark, sf_dir, "pages").select(
+    return load_spread(spark, sf_dir, "pages").select(
         "page_id", chapters.has_body(F.col("html")).alias("with_text"), chapters.has_body(emptied).alias("without_text")
     )
 
@@ -73,7 +73,7 @@ def chapter_titles(spark, sf_dir):
 
 @query("C6_safe_keys", "SELECT page_id, replace(replace(url, '/', '_'), '.html', '') AS safe_key FROM pages")
 def safe_keys(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", urls.safe_key(F.col("url")).alias("safe_key"))
+    return load_spread(spark, sf_dir, "pages").select("page_id", urls.safe_key(F.col("url")).alias("safe_key"))
 
 
 @query(
@@ -83,7 +83,7 @@ def safe_keys(spark, sf_dir):
          FROM (SELECT url FROM pages UNION ALL SELECT replace(url, '/', '_') FROM pages)) GROUP BY 1 HAVING count(DISTINCT url) > 1""",
 )
 def clashing_keys(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages")
+    pages = load_spread(spark, sf_dir, "pages")
     both = pages.select("url").unionByName(pages.select(F.replace("url", F.lit("/"), F.lit("_")).alias("url")))
     return chapters.clashing_keys(both, "url")
 
@@ -160,7 +160,7 @@ META_RULES = DEFAULT.but(collection_title="Readings", author="Various", publishe
               'en' AS language, 'Various' AS author, 'example.org' AS publisher FROM documents GROUP BY 1""",
 )
 def collection_metadata(spark, sf_dir):
-    sizes = load(spark, sf_dir, "documents").groupBy(F.col("lang").alias("collection")).agg(F.count(F.lit(1)).alias("n_docs"))
+    sizes = load_spread(spark, sf_dir, "documents").groupBy(F.col("lang").alias("collection")).agg(F.count(F.lit(1)).alias("n_docs"))
     return chapters.with_metadata(sizes, dt.date(2024, 2, 29), META_RULES)
 
 
@@ -177,7 +177,7 @@ def _with_images(spark, sf_dir):
         "html", F.lit('<img src="/pic/'), key, F.lit('.gif" alt="a chart"><IMG alt="" src="'), "url",
         F.lit('.png"><img><img src="">\n<img src="x.jpg" alt="Home"><img src="/pic/'), key, F.lit('.gif">'),
     )
-    return load(spark, sf_dir, "pages").withColumn("html", html)
+    return load_spread(spark, sf_dir, "pages").withColumn("html", html)
 
 
 IMAGE_RULES = DEFAULT.but(nav_keywords=("home",), decorative=("spam-farm", "blog."))
@@ -196,7 +196,7 @@ def image_references(spark, sf_dir):
 
 @query("I2_decorative_images", "SELECT page_id, contains(lower(url), 'spam-farm') OR contains(lower(url), 'blog.') AS decorative FROM pages")
 def decorative_images(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages")
+    pages = load_spread(spark, sf_dir, "pages")
     return pages.select("page_id", images.is_decorative(F.col("url"), IMAGE_RULES).alias("decorative"))
 
 
@@ -215,7 +215,7 @@ _URLS = """SELECT page_id, url FROM pages UNION ALL SELECT page_id, url || '.PNG
 
 def _image_urls(spark, sf_dir):
     endings = F.array(*[F.lit(e) for e in ("", ".PNG", ".gif", ".webp?x=1", ".webp")])
-    return load(spark, sf_dir, "pages").select("page_id", "url", F.explode(endings).alias("e")).select(
+    return load_spread(spark, sf_dir, "pages").select("page_id", "url", F.explode(endings).alias("e")).select(
         "page_id", F.concat("url", "e").alias("url")
     )
 
@@ -290,7 +290,7 @@ def rewritten_references(spark, sf_dir):
 
 @query("I9_base64", "SELECT doc_id, base64(encode(text)) AS data, text AS decoded FROM documents")
 def base64_data(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    docs = load_spread(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
     encoded = images.to_base64(docs)
     back = images.from_base64(encoded.withColumn("decoded", F.col("data")), "decoded")
     return back.select("doc_id", "data", F.decode("decoded", "UTF-8").alias("decoded"))

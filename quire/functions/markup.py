@@ -187,19 +187,18 @@ def measured(names: Column, lengths: Column, links: str | None = None, hits=None
 
     ``lengths[k]`` is the text length before mark k; ``links`` names a tag to count, ``hits(k)`` is any other count.
     """
-    return F.transform(
-        lengths,
-        lambda n, i: let(
-            F.get(names, i),
-            lambda name: F.struct(
-                F.ltrim(name, F.lit("/")).alias("tag"),
-                _mark_kind(name).alias("kind"),
-                n.alias("len"),
-                (F.when(name == links, 1).otherwise(0) if links else F.lit(0)).alias("links"),
-                (hits(i) if hits else F.lit(0)).alias("hits"),
-            ),
-        ),
-    )
+    def mark(n: Column, name: Column, hit: Column) -> Column:
+        return F.struct(
+            F.ltrim(name, F.lit("/")).alias("tag"),
+            _mark_kind(name).alias("kind"),
+            n.alias("len"),
+            (F.when(name == links, 1).otherwise(0) if links else F.lit(0)).alias("links"),
+            hit.alias("hits"),
+        )
+
+    if hits is None:
+        return F.zip_with(lengths, names, lambda n, name: mark(n, name, F.lit(0)))
+    return F.transform(lengths, lambda n, i: mark(n, F.get(names, i), hits(i)))
 
 
 def elements(marks: Column) -> Column:
@@ -283,7 +282,7 @@ def elements(marks: Column) -> Column:
         pos=zero, next_id=zero, text=zero, links=zero, hits=zero,
         stack=F.array().cast(f"array<{_FRAME}>"), out=empty_buffer(ELEMENT),
     )
-    return F.aggregate(marks, start, step, lambda s: F.array_sort(buffered(s["out"])))
+    return F.aggregate(marks, start, step, lambda s: F.sort_array(buffered(s["out"])))
 
 
 def with_marks(df: DataFrame, pattern: str, bare: str = "bare") -> DataFrame:

@@ -27,7 +27,9 @@ def py_strip(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Collapse every whitespace run to one space and strip."""
-    return F.btrim(F.regexp_replace(text, F.lit(rf"{BLANK}+"), F.lit(" ")))
+    # A single space is left alone instead of being replaced by itself.
+    other = BLANK.replace(r"\x20", r"\x1f")
+    return F.btrim(F.regexp_replace(text, F.lit(rf" {BLANK}+|{other}{BLANK}*"), F.lit(" ")))
 
 
 def escape_html(text: Column) -> Column:

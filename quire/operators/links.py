@@ -118,7 +118,7 @@ def first_links(anchors_col: Column, rules: Rules = DEFAULT) -> Column:
 
         return F.filter(ordered, stays)
 
-    return let(F.array_sort(kept), firsts)
+    return let(F.sort_array(kept), firsts)
 
 
 def document_links(

@@ -19,36 +19,42 @@ _LOWER_START = rf"(?:^|{BLANK})[\p{{L}}&&[^\p{{Lu}}]]{NON_BLANK}"
 def split_paragraphs(text: Column, rules: Rules = DEFAULT) -> Column:
     """Blank lines separate paragraphs; blanks inside collapse, single newlines stay, short ones go."""
     blocks = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), rf"\n{BLANK}*\n", -1)
+    # A single space is left alone instead of being replaced by itself.
     return F.filter(
-        F.transform(blocks, lambda p: F.regexp_replace(py_strip(p), F.lit(r"[ \t]+"), F.lit(" "))),
+        F.transform(blocks, lambda p: F.regexp_replace(py_strip(p), F.lit(r"[ \t]{2,}|\t"), F.lit(" "))),
         lambda p: F.length(p) > rules.min_paragraph,
     )
 
 
-def _has_phrase(text: Column, phrases, rules: Rules) -> Column:
+# The predicates take the lower-cased paragraph as ``low`` where the caller has it at hand.
+
+
+def _has_phrase(low: Column, phrases, rules: Rules) -> Column:
     if rules.keyword_match == "word":
-        # Phrases are alphanumeric at least on one side, so plain look-arounds bound them.
-        return text.rlike(r"(?<!\w)(?:" + "|".join(re.escape(p) for p in phrases) + r")(?!\w)")
-    return contains_any(text, phrases)
+        return low.rlike(r"(?<!\w)(?:" + "|".join(re.escape(p) for p in phrases) + r")(?!\w)")
+    return contains_any(low, phrases)
 
 
 def is_related_marker(p: Column, rules: Rules = DEFAULT) -> Column:
-    return contains_any(F.lower(p), rules.related_markers)
+    """P2"""
+    return let(F.lower(p), lambda low: contains_any(low, rules.related_markers))
 
 
-def is_title(p: Column, title: Column) -> Column:
+def is_title(p: Column, title: Column, low: Column | None = None) -> Column:
     """P3"""
-    return F.lower(p) == F.lower(py_strip(F.coalesce(title, F.lit(""))))
+    return (F.lower(p) if low is None else low) == F.lower(py_strip(F.coalesce(title, F.lit(""))))
 
 
-def is_navigation(p: Column, rules: Rules = DEFAULT) -> Column:
+def is_navigation(p: Column, rules: Rules = DEFAULT, low: Column | None = None) -> Column:
     """P4"""
-    return (F.length(p) < rules.nav_phrase_below) & _has_phrase(F.lower(p), rules.nav_phrases, rules)
+    short = F.length(p) < rules.nav_phrase_below
+    return short & _has_phrase(F.lower(p) if low is None else low, rules.nav_phrases, rules)
 
 
-def is_ad(p: Column, rules: Rules = DEFAULT) -> Column:
+def is_ad(p: Column, rules: Rules = DEFAULT, low: Column | None = None) -> Column:
     """P5"""
-    return (F.length(p) < rules.ad_phrase_below) & _has_phrase(F.lower(p), rules.ad_phrases, rules)
+    short = F.length(p) < rules.ad_phrase_below
+    return short & _has_phrase(F.lower(p) if low is None else low, rules.ad_phrases, rules)
 
 
 def is_lone_mark(p: Column, rules: Rules = DEFAULT) -> Column:
@@ -56,14 +62,14 @@ def is_lone_mark(p: Column, rules: Rules = DEFAULT) -> Column:
     return p.isin(*rules.lone_marks)
 
 
-def is_link_title(p: Column, rules: Rules = DEFAULT) -> Column:
+def is_link_title(p: Column, rules: Rules = DEFAULT, low: Column | None = None) -> Column:
     """P7"""
     spaces = F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
     return (
         (F.length(p) < rules.link_title_below)
         & F.contains(p, F.lit(":"))
         & (spaces < rules.link_title_spaces)
-        & contains_any(F.lower(p), rules.link_title_hints)
+        & contains_any(F.lower(p) if low is None else low, rules.link_title_hints)
     )
 
 
@@ -103,21 +109,23 @@ def trim_tail(paragraphs: Column) -> Column:
 
 def keep_content(paragraphs: Column, title: Column, rules: Rules = DEFAULT) -> Column:
     """Cut at the related-links marker, then drop titles, navigation, ads, link titles and date lines."""
+
+    def dropped(p: Column, low: Column, title_low: Column) -> Column:
+        return (
+            (low == title_low)
+            | is_navigation(p, rules, low)
+            | is_ad(p, rules, low)
+            | is_lone_mark(p, rules)
+            | is_link_title(p, rules, low)
+            | is_date_line(p)
+        )
+
+    title_low = F.lower(py_strip(F.coalesce(title, F.lit(""))))
     return let(
-        title,
-        lambda t: let(
-            paragraphs,
-            lambda all_p: F.filter(
-                before_related(all_p, rules),
-                lambda p: ~(
-                    is_title(p, t)
-                    | is_navigation(p, rules)
-                    | is_ad(p, rules)
-                    | is_lone_mark(p, rules)
-                    | is_link_title(p, rules)
-                    | is_date_line(p)
-                ),
-            ),
+        title_low,
+        lambda t: F.filter(
+            let(paragraphs, lambda all_p: before_related(all_p, rules)),
+            lambda p: ~let(F.lower(p), lambda low: dropped(p, low, t)),
         ),
     )
 

@@ -234,7 +234,7 @@ def break_headers(df: DataFrame, bare: str = "bare", rules: Rules = DEFAULT) ->
                 lambda s: F.array(s["open"] * 2 + 1, _last_mark(names, s) * 2 + 2),
             )
         )
-        ranges = F.transform(F.array_sort(points), lambda p: F.struct(p.alias("from"), p.alias("to")))
+        ranges = F.transform(F.sort_array(points), lambda p: F.struct(p.alias("from"), p.alias("to")))
         return replace_ranges(markup.pieces_of(names, texts), ranges, note)
 
     # Block elements end a header that was never closed.
