@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.arrays import appended, buffered, empty_buffer, let, strings
+from quire.functions.arrays import BLOCK, let
 from quire.functions.text import BLANK, decode_entities, py_strip
 from quire.rules import SELF_CLOSING_SCOPES, VOID_TAGS
 
@@ -166,7 +166,6 @@ _FRAME = "struct<id:int,tag:string,open:int,text:int,links:int,hits:int>"
 ELEMENT = (
     "struct<id:int,tag:string,open:int,close:int,depth:int,parent:int,start:int,len:int,links:int,hits:int>"
 )
-MARK_STRUCT = "struct<tag:string,kind:int,len:int,links:int,hits:int>"
 
 # What a mark does to the stack of open elements.
 _NOTHING, _PUSH, _PUSH_ENDING_SAME, _POP, _POP_ALL = 0, 1, 2, 3, 4
@@ -182,11 +181,12 @@ def _mark_kind(name: Column) -> Column:
     )
 
 
-def measured(names: Column, lengths: Column, links: str | None = None, hits=None) -> Column:
-    """Mark structs for ``elements`` from parallel arrays, plus one last mark that closes whatever is open.
+def measured(names: Column, lengths: Column, links: str | None = None, hits: Column | None = None) -> Column:
+    """Mark structs for ``with_elements`` from parallel arrays, plus one last mark that closes whatever is open.
 
-    ``lengths[k]`` is the text length before mark k; ``links`` names a tag to count, ``hits(k)`` is any other count.
+    ``lengths[k]`` is the text length before mark k; ``links`` names a tag to count, ``hits`` is any other count.
     """
+
     def mark(n: Column, name: Column, hit: Column) -> Column:
         return F.struct(
             F.ltrim(name, F.lit("/")).alias("tag"),
@@ -198,91 +198,67 @@ def measured(names: Column, lengths: Column, links: str | None = None, hits=None
 
     if hits is None:
         return F.zip_with(lengths, names, lambda n, name: mark(n, name, F.lit(0)))
-    return F.transform(lengths, lambda n, i: mark(n, F.get(names, i), hits(i)))
+    pairs = F.arrays_zip(names.alias("name"), hits.alias("hit"))
+    return F.zip_with(lengths, pairs, lambda n, p: mark(n, p["name"], F.coalesce(p["hit"], F.lit(0))))
+
+
+def _last_of(stack: str, tag: str) -> str:
+    """1-based position of the innermost open element of that name, 0 without one."""
+    return (
+        f"coalesce(size({stack}) + 1 - nullif(cast(array_position(reverse({stack}.tag), {tag}) as int), 0), 0)"
+    )
 
 
-def elements(marks: Column) -> Column:
+def _elements_sql() -> str:
+    scopes = ", ".join(
+        f"'{tag}', array({', '.join(repr(t) for t in outer)})" for tag, outer in SELF_CLOSING_SCOPES.items()
+    )
+    popped_to = f"coalesce(nullif({_last_of('s.stack', 'm.tag')}, 0) - 1, size(s.stack))"
+    blocked = f"""aggregate(try_element_at(map({scopes}), m.tag), 0,
+                            (far, t) -> greatest(far, {_last_of('s.stack', 't')}))"""
+    keep = f"""
+      case m.kind
+        when {_PUSH} then size(s.stack)
+        when {_POP} then if(coalesce(get(s.stack, size(s.stack) - 1).tag = m.tag, false), size(s.stack) - 1, {popped_to})
+        when {_POP_ALL} then 0
+        else if({_last_of('s.stack', 'm.tag')} > {blocked}, {popped_to}, size(s.stack)) end"""
+    popped = """
+      transform(slice(s.stack, keep + 1, size(s.stack)), (f, i) -> named_struct(
+        'id', f.id, 'tag', f.tag, 'open', f.open, 'close', s.pos, 'depth', keep + i + 1,
+        'parent', coalesce(get(s.stack, keep + i - 1).id, -1), 'start', f.text, 'len', s.text + m.len - f.text,
+        'links', s.links - f.links, 'hits', s.hits - f.hits))"""
+    frame = """named_struct('id', s.next_id, 'tag', m.tag, 'open', s.pos, 'text', s.text + m.len, 'links', s.links,
+                            'hits', s.hits)"""
+    totals = "'text', s.text + m.len, 'links', s.links + m.links, 'hits', s.hits + m.hits"
+    return f"""
+      aggregate(__marks,
+        named_struct('pos', 0, 'next_id', 0, 'text', 0, 'links', 0, 'hits', 0, 'stack', cast(array() as array<{_FRAME}>),
+                     'out', named_struct('tail', cast(array() as array<{ELEMENT}>),
+                                         'full', cast(array() as array<array<{ELEMENT}>>))),
+        (s, m) -> if(m.kind = {_NOTHING},
+          named_struct('pos', s.pos + 1, 'next_id', s.next_id, {totals}, 'stack', s.stack, 'out', s.out),
+          aggregate(array({keep}), s, (unused, keep) -> named_struct(
+            'pos', s.pos + 1, 'next_id', s.next_id + if(m.kind < {_POP}, 1, 0), {totals},
+            'stack', if(m.kind < {_POP}, concat(slice(s.stack, 1, keep), array({frame})), slice(s.stack, 1, keep)),
+            'out', if(keep = size(s.stack), s.out, named_struct(
+              'tail', if(size(s.out.tail) >= {BLOCK}, {popped}, concat(s.out.tail, {popped})),
+              'full', if(size(s.out.tail) >= {BLOCK}, concat(s.out.full, array(s.out.tail)), s.out.full)))))),
+        s -> sort_array(concat(flatten(s.out.full), s.out.tail)))"""
+
+
+def with_elements(df: DataFrame, marks: Column, into: str = "__spans") -> DataFrame:
     """Element spans of a mark sequence (see ``measured``) as array<ELEMENT> in document order.
 
     ``open``/``close`` are mark indices, ``parent`` is the ``id`` of the enclosing element or -1; ``len``, ``links``
     and ``hits`` are sums over the span.
 
-    One fold with a stack of open elements. A closing tag ends the innermost open element of its name and all
-    elements inside it; without one it is ignored. (The inner one-element aggregate binds a value as ``let`` does, but
-    without the deep copy ``transform`` makes of each result, which would copy the whole state at every step.)
+    One fold with a stack of open elements, written as SQL because one parsed text plans much faster than hundreds of
+    column calls. A closing tag ends the innermost open element of its name and all elements inside it; without one it
+    is ignored. The inner one-element aggregate binds a value as ``let`` does, but without the deep copy ``transform``
+    makes of each result, which would copy the whole state at every step. The two-level ``out`` buffer is the one of
+    ``arrays.appended``.
     """
-    scopes = F.create_map(
-        *[v for tag, outer in SELF_CLOSING_SCOPES.items() for v in (F.lit(tag), strings(outer))]
-    )
-
-    def last_of(stack: Column, tag: Column) -> Column:
-        """1-based position of the innermost open element of that name, 0 without one."""
-        back = F.array_position(F.reverse(stack["tag"]), tag).cast("int")
-        return F.coalesce(F.size(stack) + 1 - F.nullif(back, F.lit(0)), F.lit(0))
-
-    def kept_after(stack: Column, mark: Column) -> Column:
-        """How many elements stay open once this mark was seen."""
-        top_matches = F.coalesce(F.get(stack, F.size(stack) - 1)["tag"] == mark["tag"], F.lit(False))
-        popped = F.coalesce(F.nullif(last_of(stack, mark["tag"]), F.lit(0)) - 1, F.size(stack))
-        blocked = F.aggregate(
-            F.try_element_at(scopes, mark["tag"]), F.lit(0), lambda far, t: F.greatest(far, last_of(stack, t))
-        )
-        return (
-            F.when(mark["kind"] == _PUSH, F.size(stack))
-            .when(mark["kind"] == _POP, F.when(top_matches, F.size(stack) - 1).otherwise(popped))
-            .when(mark["kind"] == _POP_ALL, F.lit(0))
-            .when(last_of(stack, mark["tag"]) > blocked, popped)
-            .otherwise(F.size(stack))
-        )
-
-    def state_of(**fields: Column) -> Column:
-        return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-    def step(state: Column, mark: Column) -> Column:
-        def close_and_open(_: Column, keep: Column) -> Column:
-            pushes = mark["kind"] < _POP
-            popped = F.transform(
-                F.slice(state["stack"], keep + 1, F.size(state["stack"])),
-                lambda f, i: F.struct(
-                    f["id"].alias("id"), f["tag"].alias("tag"), f["open"].alias("open"),
-                    state["pos"].alias("close"), (keep + i + 1).alias("depth"),
-                    F.coalesce(F.get(state["stack"], keep + i - 1)["id"], F.lit(-1)).alias("parent"),
-                    f["text"].alias("start"), (state["text"] + mark["len"] - f["text"]).alias("len"),
-                    (state["links"] - f["links"]).alias("links"), (state["hits"] - f["hits"]).alias("hits"),
-                ),
-            )
-            frame = F.struct(
-                state["next_id"].alias("id"), mark["tag"].alias("tag"), state["pos"].alias("open"),
-                (state["text"] + mark["len"]).alias("text"), state["links"].alias("links"),
-                state["hits"].alias("hits"),
-            )
-            kept = F.slice(state["stack"], F.lit(1), keep)
-            return state_of(
-                pos=state["pos"] + 1,
-                next_id=state["next_id"] + F.when(pushes, 1).otherwise(0),
-                text=state["text"] + mark["len"],
-                links=state["links"] + mark["links"],
-                hits=state["hits"] + mark["hits"],
-                stack=F.when(pushes, F.concat(kept, F.array(frame))).otherwise(kept),
-                out=F.when(keep == F.size(state["stack"]), state["out"]).otherwise(
-                    appended(state["out"], popped)
-                ),
-            )
-
-        passed = state_of(
-            pos=state["pos"] + 1, next_id=state["next_id"], text=state["text"] + mark["len"],
-            links=state["links"], hits=state["hits"], stack=state["stack"], out=state["out"],
-        )
-        return F.when(mark["kind"] == _NOTHING, passed).otherwise(
-            F.aggregate(F.array(kept_after(state["stack"], mark)), state, close_and_open)
-        )
-
-    zero = F.lit(0)
-    start = state_of(
-        pos=zero, next_id=zero, text=zero, links=zero, hits=zero,
-        stack=F.array().cast(f"array<{_FRAME}>"), out=empty_buffer(ELEMENT),
-    )
-    return F.aggregate(marks, start, step, lambda s: F.sort_array(buffered(s["out"])))
+    return df.withColumn("__marks", marks).withColumn(into, F.expr(_elements_sql())).drop("__marks")
 
 
 def with_marks(df: DataFrame, pattern: str, bare: str = "bare") -> DataFrame:
@@ -307,12 +283,8 @@ def with_spans(df: DataFrame, pattern: str, bare: str = "bare", strip: bool = Tr
     """``with_marks`` plus ``__spans``: the elements of the matched tags with the length of their stripped text (0
     without ``strip``)."""
     length = (lambda t: F.length(node_text(t))) if strip else (lambda t: F.lit(0))
-    marked = with_marks(df, pattern, bare)
-    return marked.withColumn(
-        "__spans",
-        bound(
-            ["__names", "__texts"], lambda names, texts: elements(measured(names, F.transform(texts, length)))
-        ),
+    return with_marks(df, pattern, bare).transform(
+        with_elements, measured(F.col("__names"), F.transform("__texts", length))
     )
 
 

@@ -85,11 +85,15 @@ def reversible_order(order: str = "desc") -> list[Column]:
 def build_chapters(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Documents with ``content_html`` to chapters; thin ones are dropped. Narrow.
 
+    Stored content carries its text length as ``n_chars``; the gate is then a filter the Parquet scan applies, and a
+    caller that needs only the keys never reads the text. Without the column the length is measured here.
+
     Keeps doc_id, title, date, raw_date_str, read, first_pos and adds chapter_id, chapter_title, html.
     """
-    clean = markup.strip_wrappers(F.col("content_html"))
-    gated = docs.withColumn("content_html", clean).withColumn("__long", content_length(F.col("content_html")))
-    kept = settled(gated).filter(F.col("__long") >= rules.min_chapter).drop("__long")
+    docs = docs.withColumn("content_html", markup.strip_wrappers(F.col("content_html")))
+    if "n_chars" not in docs.columns:
+        docs = settled(docs.withColumn("n_chars", content_length(F.col("content_html"))))
+    kept = docs.filter(F.col("n_chars") >= rules.min_chapter)
     shown = display_date(F.col("raw_date_str"), F.col("date"), unknown=None)
     return kept.select(
         "doc_id",

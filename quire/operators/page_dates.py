@@ -31,22 +31,15 @@ def with_page_date(
     tags = markup.TAG
     raw_html = F.regexp_replace(F.col(html), F.lit(_INVISIBLE), F.lit(""))
     marked = df.withColumn("__raw", raw_html).withColumns(
-        {"__texts": F.split("__raw", tags, -1), "__marks": F.regexp_extract_all("__raw", F.lit(tags), F.lit(0))}
+        {"__texts": F.split("__raw", tags, -1), "__tags": F.regexp_extract_all("__raw", F.lit(tags), F.lit(0))}
     )
     marked = marked.withColumn(
         "__names",
-        F.transform("__marks", lambda m: F.lower(F.regexp_extract(m, r"^<(/?[A-Za-z][A-Za-z0-9:-]*)", 1))),
-    )
-    marked = marked.withColumn(
-        "__spans",
-        markup.bound(
-            ["__names", "__texts"],
-            lambda names, texts: F.filter(
-                markup.elements(markup.measured(names, F.transform(texts, lambda t: F.lit(0)))),
-                lambda s: s["tag"].isin("font", "p", "div"),
-            ),
-        ),
+        F.transform("__tags", lambda m: F.lower(F.regexp_extract(m, r"^<(/?[A-Za-z][A-Za-z0-9:-]*)", 1))),
     )
+    marked = markup.with_elements(
+        marked, markup.measured(F.col("__names"), F.transform("__texts", lambda t: F.lit(0))), "__all"
+    ).withColumn("__spans", F.filter("__all", lambda s: s["tag"].isin("font", "p", "div")))
 
     def source_of(marks: Column, texts: Column, s: Column) -> Column:
         inside = F.zip_with(
@@ -94,7 +87,7 @@ def with_page_date(
             F.lit(""),
         )
 
-    found = marked.withColumn("__hit", markup.bound(["__marks", "__texts", "__spans"], candidates))
+    found = marked.withColumn("__hit", markup.bound(["__tags", "__texts", "__spans"], candidates))
     parsed = parse_date(F.col("__hit"))
     return markup.without_temporaries(
         found.withColumns({date: parsed["date"], raw: parsed["raw_date_str"]})

@@ -45,12 +45,6 @@ def with_navigation_spans(df: DataFrame, bare: str = "bare", rules: Rules = DEFA
     links whose text *is* a keyword."""
     words = strings(rules.nav_keywords)
 
-    def weigh(names: Column, low: Column) -> Column:
-        def is_hit(i: Column) -> Column:
-            return F.when((F.get(names, i) == "a") & F.array_contains(words, F.get(low, i + 1)), 1).otherwise(0)
-
-        return markup.elements(markup.measured(names, F.transform(low, F.length), links="a", hits=is_hit))
-
     def choose(low: Column, spans: Column) -> Column:
         return F.filter(
             spans,
@@ -66,7 +60,19 @@ def with_navigation_spans(df: DataFrame, bare: str = "bare", rules: Rules = DEFA
 
     marked = markup.with_marks(df, markup.mark_pattern([*rules.nav_tags, "a"]), bare)
     marked = marked.withColumn("__low", F.transform("__texts", lambda t: F.lower(markup.node_text(t))))
-    marked = marked.withColumn("__all", markup.bound(["__names", "__low"], weigh))
+    marked = marked.withColumn(
+        "__hits",
+        F.zip_with(
+            "__names",
+            F.slice("__low", F.lit(2), F.size("__low")),
+            lambda name, label: F.when((name == "a") & F.array_contains(words, label), 1).otherwise(0),
+        ),
+    )
+    marks = markup.bound(
+        ["__names", "__low", "__hits"],
+        lambda names, low, hits: markup.measured(names, F.transform(low, F.length), "a", hits),
+    )
+    marked = markup.with_elements(marked, marks, "__all")
     return marked.withColumn("__spans", markup.bound(["__low", "__all"], choose))
 
 

@@ -20,6 +20,9 @@ from quire.sources.pages import write_collection
 from quire.sources.versioned import VersionedTable
 
 
+LISTING_SCHEMA = "pos bigint, doc_id string, href string, title string, url string, date string, raw_date_str string"
+
+
 @dataclass(frozen=True)
 class Collection:
     chapters: DataFrame
@@ -29,9 +32,16 @@ class Collection:
 
 
 def one_page_per_url(pages: DataFrame) -> DataFrame:
-    """The first landed copy of each address; only keys are aggregated."""
-    firsts = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return pages.join(firsts, ["url", "page_id"], "left_semi")
+    """The first landed copy of each address.
+
+    Only keys are aggregated; pages with a single copy are kept by a semi-join, and only copies landed twice under the
+    same page id go through a de-duplication of whole rows.
+    """
+    copies = pages.groupBy("url", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = copies.groupBy("url").agg(F.min(F.struct("page_id", "n")).alias("f")).select("url", "f.page_id", "f.n")
+    single = pages.join(first.filter("n = 1"), ["url", "page_id"], "left_semi")
+    repeated = pages.join(first.filter("n > 1"), ["url", "page_id"], "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["url", "page_id"]))
 
 
 def parse_pages(pages: DataFrame, todo: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -41,6 +51,8 @@ def parse_pages(pages: DataFrame, todo: DataFrame, rules: Rules = DEFAULT) -> Da
     parsed = found.transform(with_page_date).transform(extract_content, rules=rules)
     return parsed.select(
         "doc_id",
+        "url",
+        "title",
         safe_key(F.col("doc_id")).alias("safe_key"),
         "content_html",
         "n_chars",
@@ -74,7 +86,7 @@ def compile_collection(
 ) -> Collection:
     """One collection out of registry rows and their content."""
     ch.check_order(order)
-    docs = incremental.stored(known, content.select("doc_id", "content_html"))
+    docs = incremental.stored(known, content.select("doc_id", "content_html", "n_chars"))
     made = ch.build_chapters(docs, rules).withColumn("collection", F.lit(name))
     spine = ch.spine(made, order=order, exact_parallel=by_range)
     sizes = spine.groupBy("collection").agg(F.count(F.lit(1)).alias("n_chapters"))
@@ -112,7 +124,9 @@ def build(
             raise ValueError("no registry found; run a normal build first")
         docs = table.read()
     else:
-        listing = links.document_links(index_pages, rules=rules)
+        listings = VersionedTable(spark, f"{root}/listing", LISTING_SCHEMA)
+        listings.write(links.document_links(index_pages, rules=rules))
+        listing = listings.read()
         if listing.isEmpty():
             raise ValueError("the index lists no documents")
         table.write(registry.upsert(table.read(), listing, run_at, rules))

@@ -14,7 +14,7 @@ from quire.functions.text import plain_base64
 from quire.sources.versioned import VersionedTable
 
 SCHEMA = (
-    "doc_id string, safe_key string, content_html string, n_chars int, page_date string, page_raw_date string, "
+    "doc_id string, url string, title string, safe_key string, content_html string, n_chars int, page_date string, page_raw_date string, "
     "images array<struct<filename:string,data:binary>>"
 )
 JSON_SCHEMA = "essay_id string, content_html string, images array<struct<filename:string,data:string>>"

@@ -21,7 +21,7 @@ from quire.sources.versioned import VersionedTable
 
 
 def parse_batch(pages: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """New pages to content rows plus title and url; narrow but for the per-address de-duplication."""
+    """New pages to content rows; the id is the address. Narrow but for the per-address de-duplication."""
     fetched = one_page_per_url(pages.filter(non_empty(F.col("html"))).select("page_id", "url", "html"))
     titled = (
         fetched.withColumn("source", F.col("html"))
@@ -32,7 +32,6 @@ def parse_batch(pages: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     parsed = titled.transform(with_page_date, "source").transform(extract_content, "source", "title", rules)
     return parsed.select(
         F.col("url").alias("doc_id"),
-        "page_id",
         "url",
         "title",
         safe_key(F.col("url")).alias("safe_key"),
@@ -70,15 +69,12 @@ class PageIngest:
         known = self.registry.read(before[-1]) if before else registry.empty_registry(self.spark)
         store = self.content._batches()
         new = self.spark.read.schema(store.schema).parquet(store.path_of(version))
-        titles = (
-            batch.filter(non_empty(F.col("html")))
-            .transform(one_page_per_url)
-            .transform(skeletons, "html", "bare")
-            .transform(with_title, "bare", F.col("url"), self.rules)
-            .select("page_id", F.col("url").alias("doc_id"), "url", "title")
+        parsed = new.select(
+            "doc_id", "url", "title", F.col("page_date").alias("date"), F.col("page_raw_date").alias("raw_date_str")
         )
-        dates = new.select("doc_id", F.col("page_date").alias("date"), F.col("page_raw_date").alias("raw_date_str"))
-        source = titles.join(dates, "doc_id", "left").withColumn("pos", F.col("page_id"))
+        # Pages seen before are not parsed again, only noted as seen.
+        arrived = batch.filter(non_empty(F.col("html"))).groupBy("url").agg(F.min("page_id").alias("pos"))
+        source = arrived.withColumnRenamed("url", "doc_id").join(parsed, "doc_id", "left")
         return registry.upsert(known, source, self.run_at, self.rules)
 
     def run(self, max_files_per_batch: int | None = None) -> None:

@@ -26,15 +26,25 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(scope="session")
-def value(spark):
-    """Evaluate a column function on literal arguments."""
+def values(spark):
+    """Evaluate a column function on many rows of string arguments at once."""
 
-    def run(fn, *args):
+    def run(fn, rows):
         from pyspark.sql import functions as F
 
-        names = [f"c{i}" for i in range(len(args))]
-        schema = ", ".join(f"{n} {'array<string>' if isinstance(a, list) else 'string'}" for n, a in zip(names, args))
-        df = spark.createDataFrame([tuple(args)], schema)
-        return df.select(fn(*[F.col(n) for n in names]).alias("v")).first()["v"]
+        rows = [r if isinstance(r, tuple) else (r,) for r in rows]
+        names = [f"c{i}" for i in range(len(rows[0]))]
+        schema = "n int, " + ", ".join(f"{n} string" for n in names)
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+        found = df.select("n", fn(*[F.col(n) for n in names]).alias("v")).collect()
+        return [r["v"] for r in sorted(found, key=lambda r: r["n"])]
+
+    return run
+
+
+@pytest.fixture(scope="session")
+def value(values):
+    def run(fn, *args):
+        return values(fn, [args])[0]
 
     return run
