@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from quire.catalog.base import CONTENT_SQL, REGISTRY_SQL, load, query, registry_table, stored_content
+from quire.catalog.markup_queries import _sql_clean
 from quire.operators import incremental, registry
-from quire.operators.ranking import numbered
+from quire.operators.ranking import numbered, scratch_folder
 from quire.rules import DEFAULT
 from quire.sources import content_store, registry_json
+from quire.streaming.ingest import PageIngest
 
 SEEN_AT = dt.datetime(2024, 6, 1)
 
@@ -193,6 +196,12 @@ def state_lines(spark, sf_dir):
     return registry_json.state_lines(registry_table(spark, sf_dir), SEEN_AT)
 
 
+@query("SRC3_state_round_trip", f"SELECT doc_id, title, url, date, raw_date_str, read FROM ({REGISTRY_SQL})")
+def state_round_trip(spark, sf_dir):
+    lines = registry_json.state_lines(registry_table(spark, sf_dir), SEEN_AT).select("value")
+    return registry_json.parse_state_lines(lines).select("doc_id", "title", "url", "date", "raw_date_str", "read")
+
+
 # --- incremental ---------------------------------------------------------------------------------------------
 
 
@@ -311,3 +320,17 @@ def json_entries(spark, sf_dir):
     none = F.array().cast("array<struct<filename:string,data:binary>>")
     entries = content_store.json_entries(stored_content(spark, sf_dir).withColumn("images", none))
     return entries.select(F.to_json(F.struct("essay_id", "content_html", "images")).alias("entry"))
+
+
+@query(
+    "N8_stream_ingest",
+    f"""SELECT url AS doc_id, title, false AS read FROM (
+          SELECT url, {_sql_clean("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+                 row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages) WHERE rn = 1""",
+)
+def stream_ingest(spark, sf_dir):
+    """All landed page files through the stream; the run's tables go to the shared checkpoint folder."""
+    root = f"{scratch_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    run = PageIngest(spark, f"{sf_dir}/pages*.parquet", root, SEEN_AT)
+    run.run()
+    return run.registry.read().select("doc_id", "title", "read")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Groups up to this many rows are numbered by a plain window; one task sorts that many keys easily.
 PLAIN_WINDOW_ROWS = 5_000_000
 
 
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Use the cluster's checkpoint folder; only where none is set (tests) fall back to a temporary one."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for intermediate data; a temporary one only where none is named (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def numbered_by_window(df: DataFrame, group: list[Column], order: list[Column], into: str) -> DataFrame:
@@ -30,7 +30,7 @@ def numbered_by_range(df: DataFrame, group: list[Column], order: list[Column], i
     the same group in earlier ranges. The ranges are sampled, so they are fixed by a checkpoint before they are used
     twice: a recomputation could otherwise draw different ranges for the counts and for the rows.
     """
-    ensure_checkpoint_dir(df)
+    scratch_folder(df.sparkSession)
     ranged = df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
     named = [f"__group{i}" for i in range(len(group))]
     keyed = ranged.withColumns(dict(zip(named, group)))

@@ -66,12 +66,12 @@ def write_state(registry: DataFrame, path: str, last_update: dt.datetime) -> Non
     state_lines(registry, last_update).orderBy("rank", "pos").select("value").write.mode("overwrite").text(path)
 
 
-def read_state_parts(spark: SparkSession, path: str) -> DataFrame:
-    """Read what ``write_state`` wrote, line by line and in parallel."""
-    lines = spark.read.text(path).filter(~F.startswith("value", F.lit('{"last_update"')) & (F.col("value") != "}}"))
+def parse_state_lines(lines: DataFrame) -> DataFrame:
+    """Registry rows of state lines (column ``value``), each line on its own."""
+    entries = lines.filter(~F.startswith("value", F.lit('{"last_update"')) & (F.col("value") != "}}"))
     body = F.regexp_replace("value", F.lit(r"^,"), F.lit(""))
     one = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), f"map<string,{_RECORD}>")
-    return lines.select(F.explode(one).alias("doc_id", "e")).select(
+    return entries.select(F.explode(one).alias("doc_id", "e")).select(
         "doc_id",
         F.coalesce("e.title", F.lit("")).alias("title"),
         F.coalesce("e.url", F.lit("")).alias("url"),
@@ -80,3 +80,8 @@ def read_state_parts(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("e.read", F.lit(False)).alias("read"),
         F.try_to_timestamp("e.last_seen").alias("last_seen"),
     )
+
+
+def read_state_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Read what ``write_state`` wrote, line by line and in parallel."""
+    return parse_state_lines(spark.read.text(path))
