@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.urls import safe_key
@@ -32,22 +32,24 @@ class Collection:
 
 
 def one_page_per_url(pages: DataFrame) -> DataFrame:
-    """The first landed copy of each address.
+    """The first landed copy of each address, in one pass.
 
-    Only keys are aggregated; pages with a single copy are kept by a semi-join, and only copies landed twice under the
-    same page id go through a de-duplication of whole rows.
+    Spark limits each group to its first row before the shuffle as well, so an address landed in a third of all rows
+    is one row per task there.
     """
-    copies = pages.groupBy("url", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    first = copies.groupBy("url").agg(F.min(F.struct("page_id", "n")).alias("f")).select("url", "f.page_id", "f.n")
-    single = pages.join(first.filter("n = 1"), ["url", "page_id"], "left_semi")
-    repeated = pages.join(first.filter("n > 1"), ["url", "page_id"], "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["url", "page_id"]))
+    first = F.row_number().over(Window.partitionBy("url").orderBy("page_id"))
+    return pages.withColumn("__copy", first).filter("__copy = 1").drop("__copy")
 
 
 def parse_pages(pages: DataFrame, todo: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """SRC1, D2, extract_content: content rows for the documents in ``todo`` (doc_id, url, title)."""
+    """SRC1, D2, extract_content: content rows for the documents in ``todo`` (doc_id, url, title).
+
+    Pages nobody asked for are dropped by their address first; the choice of a copy and the join with ``todo`` then
+    work on that same partitioning.
+    """
     fetched = pages.filter(non_empty(F.col("html"))).select("page_id", "url", "html")
-    found = todo.select("doc_id", "url", "title").join(one_page_per_url(fetched), "url")
+    wanted = fetched.join(todo.select("url"), "url", "left_semi").transform(one_page_per_url)
+    found = todo.select("doc_id", "url", "title").join(wanted, "url")
     parsed = found.transform(with_page_date).transform(extract_content, rules=rules)
     return parsed.select(
         "doc_id",

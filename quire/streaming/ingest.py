@@ -58,7 +58,9 @@ class PageIngest:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         if version not in self.content.batches():
-            known = self.content.read().select("doc_id")
+            # Only the keys this batch brings matter; the batch is the small side of that join.
+            arriving = batch.select(F.col("url").alias("doc_id")).distinct()
+            known = self.content.read().select("doc_id").join(arriving, "doc_id", "left_semi")
             fresh = batch.join(known, batch["url"] == known["doc_id"], "left_anti")
             self.content.append(parse_batch(fresh, self.rules), version)
         if version not in self.registry.versions():
