@@ -20,6 +20,8 @@ from quire.sources.pages import write_collection
 from quire.sources.versioned import VersionedTable
 
 
+# Up to this many addresses (some tens of megabytes) are broadcast; measured before each use.
+FEW_DOCUMENTS = 500_000
 LISTING_SCHEMA = "pos bigint, doc_id string, href string, title string, url string, date string, raw_date_str string"
 
 
@@ -44,12 +46,14 @@ def one_page_per_url(pages: DataFrame) -> DataFrame:
 def parse_pages(pages: DataFrame, todo: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """SRC1, D2, extract_content: content rows for the documents in ``todo`` (doc_id, url, title).
 
-    Pages nobody asked for are dropped by their address first; the choice of a copy and the join with ``todo`` then
-    work on that same partitioning.
+    The addresses to do are counted first. Few of them are sent to every task, so that pages nobody asked for never move.
+    Otherwise most pages are wanted anyway: each task keeps one copy per address, which keeps an often landed address
+    from ending in one task, and the join with ``todo`` works on the resulting partitioning.
     """
-    fetched = pages.filter(non_empty(F.col("html"))).select("page_id", "url", "html")
-    wanted = fetched.join(todo.select("url"), "url", "left_semi").transform(one_page_per_url)
-    found = todo.select("doc_id", "url", "title").join(wanted, "url")
+    pages = pages.filter(non_empty(F.col("html"))).select("page_id", "url", "html")
+    if todo.count() <= FEW_DOCUMENTS:
+        pages = pages.join(F.broadcast(todo.select("url")), "url", "left_semi")
+    found = todo.select("doc_id", "url", "title").join(one_page_per_url(pages), "url")
     parsed = found.transform(with_page_date).transform(extract_content, rules=rules)
     return parsed.select(
         "doc_id",

@@ -6,7 +6,7 @@ import json
 import pytest
 
 from quire.operators import incremental, registry
-from quire.plans.build import build
+from quire.plans.build import build, parse_pages
 from quire.rules import DEFAULT
 from quire.sources import content_store, registry_json
 from quire.sources.pages import read_pages, write_bucketed
@@ -56,6 +56,14 @@ def test_build_rebuild_and_force(spark, site, tmp_path):
         build(spark, str(tmp_path / "none"), none, None, AT, rebuild=True)
 
 
+def test_many_documents_to_parse_give_the_same(spark, site, monkeypatch):
+    pages, _ = site
+    todo = spark.createDataFrame([("a.html", "http://s.example/a.html", "A"), ("g", "http://s.example/gone.html", "G")], "doc_id string, url string, title string")
+    few = parse_pages(pages, todo).select("doc_id", "page_date").collect()
+    monkeypatch.setattr("quire.plans.build.FEW_DOCUMENTS", 0)
+    assert few == parse_pages(pages, todo).select("doc_id", "page_date").collect() == [("a.html", "2004-01-01")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     files = [[(i, f"http://s.example/{i}.html", page(f"May {2000 + i}")) for i in part] for part in ([0, 1], [2, 3], [1, 4])]
     landing = tmp_path / "landing"
