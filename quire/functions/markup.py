@@ -146,7 +146,7 @@ def bare_br_to_breaks(bare: Column) -> Column:
 
 
 def strip_wrappers(html: Column) -> Column:
-    """Drop document and table wrapper tags, and the head with all it holds."""
+    """Drop document and table wrapper tags, and the head with all it holds; text without any is left at once."""
     out = html
     for pattern in (
         r"(?i)</?html[^>]*>",
@@ -157,7 +157,7 @@ def strip_wrappers(html: Column) -> Column:
         r"(?i)</?td[^>]*>",
     ):
         out = F.regexp_replace(out, F.lit(pattern), F.lit(""))
-    return out
+    return F.when(html.rlike(r"(?i)</?(?:html|body|head|t[rd]|table)"), out).otherwise(html)
 
 
 # --- element spans -------------------------------------------------------------------------------------------
