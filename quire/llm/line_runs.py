@@ -35,14 +35,15 @@ class LineRuns:
     """
 
     def __init__(self, spark: SparkSession, fan: int = FAN, buckets: int | None = None):
-        self.spark, self.fan, self.levels = spark, fan, [[]]
+        self.spark, self.fan, self.levels, self.paths = spark, fan, [[]], {}
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         rows = rows.repartition(self.buckets, *HASH)
         writer = rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH)
-        writer.option("path", new_path(self.spark, "line-run")).saveAsTable(name)
+        self.paths[name] = new_path(self.spark, "line-run")
+        writer.option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def _run(self, name: str) -> DataFrame:
@@ -63,7 +64,8 @@ class LineRuns:
         name = self._write(judged)
         self.levels[0].append(name)
         self._compact()
-        return self.spark.table(name).where("NOT fresh OR first <> last").select(*HASH, "owner")
+        # read without its buckets, so that the join with all places of a hot line is one that AQE may split
+        return self.spark.read.parquet(self.paths[name]).where("NOT fresh OR first <> last").select(*HASH, "owner")
 
     def _compact(self) -> None:
         level = 0
