@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("near_copies", "packing", "line_runs", "token_prefixes", "toxicity", "chat", "secrets", "neighbours")
+MODULES = ("near_copies", "packing", "line_runs", "token_prefixes", "toxicity", "chat", "secrets", "neighbours", "contamination")
 
 
 def query(name: str, sql: str | None = None):
