@@ -19,7 +19,7 @@ from quire.llm.scratch import settle
 LENGTH = 1024
 END_ID = 0
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-RANKED_ROWS = 200_000  # pieces of one length numbered in one task
+RANKED_ROWS = 20_000  # pieces of one length numbered in one task
 
 
 def pack_histogram(counts: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
