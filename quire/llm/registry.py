@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("near_copies", "packing", "line_runs", "token_prefixes", "toxicity", "chat", "secrets", "neighbours", "contamination")
+MODULES = (
+    "near_copies", "packing", "line_runs", "toxicity", "chat", "licenses", "token_prefixes", "neighbours", "secrets", "contamination",
+)
 
 
 def query(name: str, sql: str | None = None):
