@@ -18,7 +18,7 @@ from quire.llm.registry import load, query
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 SPACE = "▁"
-MOST_WORDS, MOST_PAIRS = 400_000, 2_000_000
+MOST_WORDS, MOST_PAIRS = 250_000, 2_000_000
 BASE = np.uint64(0xD6E8FEB86659FD93)
 SHORT = 64  # words up to this length are worked out side by side
 
@@ -231,7 +231,7 @@ def prefix_counts(docs: DataFrame, model_file: str, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model_file)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             texts = batch.column("text")
             counts, steps = own.steps(texts)
             sizes = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
