@@ -177,6 +177,54 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     )
 
 
+def _jaccard(pairs: DataFrame, size: int) -> DataFrame:
+    """(a, b, similarity) of (a, b, text_a, text_b): shared shingles over all shingles of the two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(slices(batches, "text_a"), "text_b"):
+            found, last, own = [], None, None
+            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+                x, y = x.as_py(), np.unique(shingle_hashes(y.as_py(), size))
+                if own is None or x != last:
+                    last, own = x, np.unique(shingle_hashes(x, size))
+                both = len(np.intersect1d(own, y, assume_unique=True))
+                found.append(both / (len(own) + len(y) - both) if len(own) + len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+
+
+def similar_classes(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, lanes: int = 4, recall: float = 0.97
+) -> DataFrame:
+    """(key, component_id) of documents: components of links whose shingle sets have a Jaccard similarity of ``least``.
+
+    Fingerprints of 64 bits a lane are compared within buckets of randomly chosen bits, as many buckets as find a pair at
+    just that similarity with probability ``recall``; more similar pairs are found more surely. Candidates lie within
+    three deviations of the distance that the similarity makes, and each link is verified on the whole texts. Equal
+    fingerprints are one document. Null keys take no part; a key with several texts is one document. An empty table
+    gives none.
+    """
+    bits = 64 * lanes
+    share = math.acos(2 * least / (1 + least)) / math.pi  # of bits that differ, for sets of about one size
+    radius = round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    names = [f"p{i}" for i in range(lanes)]
+    prints = settle(fingerprints(rows, "key", "text", size, lanes), "prints")
+    nodes = settle(prints.groupBy(*names).agg(F.min("key").alias("node")), "nodes")
+    index = sampled_index(share, recall, nodes.count(), lanes)
+    pairs = settle(close_links(nodes, radius, index, nearest=True), "pairs")
+    texts = rows.select("key", F.col("text").cast("binary").alias("text"))
+    pairs = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
+    pairs = pairs.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
+    links = settle(_jaccard(pairs, size).where(F.col("similarity") >= least).select("a", "b"), "links")
+    copies = prints.join(nodes, names).where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    found = components(links.union(copies))
+    return prints.select("key").distinct().join(found, F.col("key") == F.col("node"), "left").select(
+        F.col("key").alias(key), F.coalesce("component", "key").alias("component_id")
+    )
+
+
 @query("op1_near_copies")
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(load(spark, sf_dir, "documents"))

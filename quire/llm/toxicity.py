@@ -146,53 +146,48 @@ def _count(docs: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def _scan(rows: DataFrame, shared, calibrated: bool) -> DataFrame:
-    """Passages of each text: their scores alone for the calibration, else the document's score and its passages."""
+def _passages(texts: pa.Array, folds: np.ndarray, models: list[Model], words: Words) -> tuple[list[int], list[list]]:
+    """Words of each text, and its passages (first character, behind the last, score) under the model of its fold."""
+    offsets, where, names = _split(texts)
+    buckets = words.buckets(names)
+    by_model = [m.scores(buckets) for m in models]
+    tables = [dict(zip(names, x.tolist())) for x in by_model]
+    positive = [np.append(0, np.cumsum(x[where] > 0)) for x in by_model]
+    sizes, found = np.diff(offsets).tolist(), []
+    for i, f in enumerate(folds.tolist()):
+        if positive[f][offsets[i + 1]] == positive[f][offsets[i]]:
+            found.append([])
+            continue
+        text = texts[i].as_py()
+        spans = [m.span() for m in WORD.finditer(text)]
+        own = segments([tables[f][text[x:y]] for x, y in spans])
+        found.append([(spans[x][0], spans[y - 1][1], s) for x, y, s in own])
+    return sizes, found
+
+
+def _learned_passages(rows: DataFrame, shared) -> DataFrame:
+    """(kind, tokens, passages): scores of the passages of learned documents, by the other fold's model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, words = shared.value, Words()
+        words = Words()
         for batch in slices(batches, "text"):
-            texts = batch.column("text")
-            offsets, where, names = _split(texts)
-            buckets = words.buckets(names)
-            by_model = [m.scores(buckets) for m in models]
-            tables = [dict(zip(names, x.tolist())) for x in by_model]
-            fold = np.asarray(pc.fill_null(batch.column("fold"), 0)) if len(models) > 1 else np.zeros(len(texts), np.int64)
-            gates = [np.append(0, np.cumsum(x[where] > 0)) for x in by_model]
-            sizes, found = [], []
-            for i in range(len(texts)):
-                f, a, b = int(fold[i]), offsets[i], offsets[i + 1]
-                sizes.append(int(b - a))
-                if gates[f][b] == gates[f][a]:
-                    found.append([])
-                    continue
-                spans = [m.span() for m in WORD.finditer(texts[i].as_py())]
-                text = texts[i].as_py()
-                own = segments([tables[f][text[x:y]] for x, y in spans])
-                found.append([(spans[x][0], spans[y - 1][1], s) for x, y, s in own])
-            if not calibrated:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("kind"), pa.array(sizes, pa.int64()),
-                     pa.array([[s for *_, s in x] for x in found], pa.list_(pa.float64()))],
-                    ["kind", "tokens", "passages"],
-                )
-                continue
-            model, scores, toxic = models[0], [], []
-            for n, own in zip(sizes, found):
-                each = [model.surprise(s, n) for *_, s in own]
-                scores.append(_logistic(model.bias + model.slope * math.log1p(sum(x for x in each if x > 0))))
-                toxic.append([
-                    {"start": a, "end": b, "score": s} for (a, b, s), x in zip(own, each) if x >= -math.log(SIGNIFICANT)
-                ])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(scores, pa.float64()), pa.array(toxic, PASSAGES)], ["key", "score", "passages"]
-            )
-
-    if not calibrated:
-        return rows.select("text", "kind", "fold").mapInArrow(run, "kind int, tokens long, passages array<double>")
-    kind = rows.schema["key"].dataType.simpleString()
-    out = f"key {kind}, score double, passages array<struct<start:int,end:int,score:double>>"
-    return rows.select("key", "text").mapInArrow(run, out)
+            folds = np.asarray(batch.column("fold"), dtype=np.int64)
+            sizes, found = _passages(batch.column("text"), folds, shared.value, words)
+            scores = pa.array([[s for *_, s in x] for x in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(sizes, pa.int64()), scores], ["kind", "tokens", "passages"])
+
+    return rows.select("text", "kind", "fold").mapInArrow(run, "kind int, tokens long, passages array<double>")
+
+
+def _scored(batch: pa.RecordBatch, text: str, model: Model, words: Words) -> tuple[list[float], list[list[dict]]]:
+    sizes, found = _passages(batch.column(text), np.zeros(batch.num_rows, np.int64), [model], words)
+    scores, toxic = [], []
+    for n, own in zip(sizes, found):
+        each = [model.surprise(s, n) for *_, s in own]
+        scores.append(_logistic(model.bias + model.slope * math.log1p(sum(x for x in each if x > 0))))
+        sure = [p for p, x in zip(own, each) if x >= -math.log(SIGNIFICANT)]
+        toxic.append([{"start": a, "end": b, "score": s} for a, b, s in sure])
+    return scores, toxic
 
 
 PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -243,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     model = log_odds(sums[1] + sums[3], sums[2] + sums[4], sums[0], (tokens[1] + tokens[3], tokens[2] + tokens[4]))
 
     shared = docs.sparkSession.sparkContext.broadcast(folds)
-    seen = settle(_scan(rows.join(learned, "id"), shared, False), "passages")
+    seen = settle(_learned_passages(rows.join(learned, "id"), shared), "passages")
     toxic = F.col("kind") % 2 == 1
     stats = seen.where(~toxic).agg(
         F.sum("tokens").alias("tokens"), F.sum(F.size("passages")).alias("k"),
@@ -264,9 +259,32 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, passages): the probability that a document is toxic and its significant passages by character."""
-    shared = docs.sparkSession.sparkContext.broadcast([model])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in slices(batches, "text"):
+            scores, toxic = _scored(batch, "text", shared.value, words)
+            arrays = [batch.column("key"), pa.array(scores, pa.float64()), pa.array(toxic, PASSAGES)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "score", "passages"])
+
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return _scan(rows, shared, True).withColumnRenamed("key", key)
+    kind = rows.schema["key"].dataType.simpleString()
+    out = f"key {kind}, score double, passages array<struct<start:int,end:int,score:double>>"
+    return rows.mapInArrow(run, out).withColumnRenamed("key", key)
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in slices(batches, text):
+            scores, _ = _scored(batch, text, shared.value, words)
+            yield batch.filter(pa.array([x < threshold for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
