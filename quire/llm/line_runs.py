@@ -65,7 +65,8 @@ class LineRuns:
         self.levels[0].append(name)
         self._compact()
         # read without its buckets, so that the join with all places of a hot line is one that AQE may split
-        return self.spark.read.parquet(self.paths[name]).where("NOT fresh OR first <> last").select(*HASH, "owner")
+        plain = self.spark.read.schema(self.spark.table(name).schema).parquet(self.paths[name])
+        return plain.where("NOT fresh OR first <> last").select(*HASH, "owner")
 
     def _compact(self) -> None:
         level = 0
