@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.pages import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -30,11 +28,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def load_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """For queries that parse markup or long text: see ``spread``."""
-    return spread(load(spark, sf_dir, table))
-
-
 # --- SQL side ------------------------------------------------------------------------------------------------
 
 _REST = """[^>"'']*(?:(?:"[^"]*"|''[^'']*'')[^>"'']*)*>"""
@@ -74,7 +67,7 @@ def sql_tokens(source: str = "pages", key: str = "page_id", html: str = "html")
 
 # A registry over documents, labels and orders; both sides build it by the same rule.
 REGISTRY_SQL = """
-  SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, substr(d.text, 1, 40) AS title, 'https://example.org/' || d.source AS url,
+  SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, split_part(d.text, chr(10), 1) AS title, 'https://example.org/' || d.source AS url,
          CASE WHEN o.o_orderstatus = 'P' THEN NULL ELSE strftime(o.o_orderdate, '%Y-%m-01') END AS date,
          CASE o.o_orderstatus WHEN 'F' THEN strftime(o.o_orderdate, '%B %Y') WHEN 'O' THEN '' END AS raw_date_str,
          coalesce(l.quality, 0) = 1 AS read, d.doc_id AS first_pos
@@ -89,7 +82,7 @@ def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, day = F.col("o_orderstatus"), F.col("o_orderdate")
     return joined.select(
         F.col("doc_id").cast("string").alias("doc_id"),
-        F.substring("text", 1, 40).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.concat(F.lit("https://example.org/"), "source").alias("url"),
         F.when(status != "P", F.date_format(day, "yyyy-MM-01")).alias("date"),
         F.when(status == "F", F.date_format(day, "MMMM yyyy")).when(status == "O", "").alias("raw_date_str"),

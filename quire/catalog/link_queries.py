@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.catalog.base import load, load_spread, query, registry_table, REGISTRY_SQL
+from quire.catalog.base import load, query, registry_table, REGISTRY_SQL
 from quire.catalog.markup_queries import _ANCHORS
 from quire.functions import dates, urls
 from quire.operators import links, page_dates
@@ -18,7 +18,7 @@ _KEPT = f"SELECT * FROM ({_ANCHORS}) WHERE href NOT IN {_SKIP_SQL} AND href <> '
 
 
 def _anchor_rows(spark, sf_dir):
-    return load_spread(spark, sf_dir, "pages").transform(links.anchors).transform(settled).select("page_id", F.inline("anchors"))
+    return load(spark, sf_dir, "pages").transform(links.anchors).transform(settled).select("page_id", F.inline("anchors"))
 
 
 @query("L1_document_hrefs", f"SELECT page_id, pos, href FROM ({_ANCHORS}) WHERE href <> '' AND href NOT IN {_SKIP_SQL} AND href NOT LIKE '#%'")
@@ -29,7 +29,7 @@ def document_hrefs(spark, sf_dir):
 
 @query("L2_allowed_sites", "SELECT page_id, NOT starts_with(url, 'http') OR contains(url, 'example.org/en') AS allowed FROM pages")
 def allowed_sites(spark, sf_dir):
-    pages = load_spread(spark, sf_dir, "pages")
+    pages = load(spark, sf_dir, "pages")
     return pages.select("page_id", links.is_allowed_site(F.col("url"), LINK_RULES).alias("allowed"))
 
 
@@ -38,7 +38,7 @@ def allowed_sites(spark, sf_dir):
     "SELECT page_id, split_part(url, '?', 1) LIKE '%.html' OR split_part(url, '?', 1) LIKE '%.txt' AS is_document FROM pages",
 )
 def document_suffixes(spark, sf_dir):
-    pages = load_spread(spark, sf_dir, "pages")
+    pages = load(spark, sf_dir, "pages")
     return pages.select("page_id", links.has_document_suffix(F.col("url")).alias("is_document"))
 
 
@@ -56,7 +56,7 @@ def link_texts(spark, sf_dir):
               FROM ({_KEPT}) k JOIN pages p USING (page_id)) WHERE rn = 1""",
 )
 def first_links(spark, sf_dir):
-    found = links.document_links(load_spread(spark, sf_dir, "pages"), base="url", rules=LINK_RULES, with_dates=False)
+    found = links.document_links(load(spark, sf_dir, "pages"), base="url", rules=LINK_RULES, with_dates=False)
     return found.select("page_id", "pos", "doc_id", "title", "url")
 
 
@@ -75,7 +75,7 @@ def absolute_urls(spark, sf_dir):
     def against(ref):
         return urls.absolute_url(F.col("url"), F.lit(ref))
 
-    return load_spread(spark, sf_dir, "pages").select(
+    return load(spark, sf_dir, "pages").select(
         "page_id", against("/a/b?c#d").alias("rooted"), against("x.html").alias("sibling"),
         against("?q=1").alias("queried"), against("#s").alias("marked"), against("../y").alias("up"),
     )
@@ -88,7 +88,7 @@ def absolute_urls(spark, sf_dir):
 )
 def document_ids(spark, sf_dir):
     relative = F.regexp_replace("url", F.lit("^https?://[^/]*/"), F.lit(""))
-    return load_spread(spark, sf_dir, "pages").select(
+    return load(spark, sf_dir, "pages").select(
         "page_id", urls.document_id(F.col("url")).alias("external_id"), urls.document_id(relative).alias("relative_id")
     )
 
@@ -109,7 +109,7 @@ def dates_near_links(spark, sf_dir):
         F.lit('</b>: <a href="y'), key, F.lit('.html">By year</a></li><li><a href="n'), key,
         F.lit('.txt">Without</a> a date</li></ul>'),
     )
-    pages = load_spread(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"))
+    pages = load(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"))
     found = links.document_links(pages, "o_orderkey")
     return found.select("o_orderkey", "pos", "doc_id", "title", "date", "raw_date_str")
 
@@ -160,7 +160,7 @@ def page_own_dates(spark, sf_dir):
         .when(status == "O", F.concat(F.lit("<p>x</p><font size=1>"), F.date_format(day, "yyyy"), F.lit("<br>Text</font>")))
         .otherwise(F.concat(F.lit("<div>None</div><div> "), F.date_format(day, "MMMM yyyy"), F.lit(" began</div>")))
     )
-    pages = load_spread(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"))
+    pages = load(spark, sf_dir, "orders").select("o_orderkey", html.alias("html"))
     return pages.transform(page_dates.with_page_date).select("o_orderkey", "page_date", "page_raw_date")
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import py_strip
+from quire.functions.text import BLANK, py_strip
 from quire.rules import MONTHS, UNKNOWN_DATE
 
 MONTH_NAMES = "|".join(MONTHS)
-MONTH_YEAR = rf"(?i)({MONTH_NAMES})\s+(\d{{4}})"
+MONTH_YEAR = rf"(?i)({MONTH_NAMES}){BLANK}+(\d{{4}})"
 YEAR = r"\b(19\d{2}|20\d{2})\b"
-DATE_LINE = rf"(?i)^(?:{MONTH_NAMES})\s+\d{{4}}(?:,\s*rev\.\s*(?:{MONTH_NAMES})\s+\d{{4}})?$"
+DATE_LINE = rf"(?i)^(?:{MONTH_NAMES}){BLANK}+\d{{4}}(?:,{BLANK}*rev\.{BLANK}*(?:{MONTH_NAMES}){BLANK}+\d{{4}})?$"
 
 
 def iso_date(raw: Column) -> Column:

@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.arrays import BLOCK, let
+from quire.functions.arrays import let
+from quire.functions.spans import element_spans
 from quire.functions.text import BLANK, decode_entities, py_strip
-from quire.rules import SELF_CLOSING_SCOPES, VOID_TAGS
+from quire.operators.settle import settled
+from quire.rules import VOID_TAGS
 
 # Possessive quantifiers: the engine never recurses or backtracks, however long an attribute list is.
 _TAG_REST = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
@@ -102,6 +104,22 @@ def skeleton(html: Column) -> Column:
     return decode_entities(F.regexp_replace(html, F.lit(_SKELETON), F.lit("\x01$1\x02")))
 
 
+def with_numbered_images(bare: Column) -> Column:
+    """A skeleton whose k-th image mark (from 0) is named ``img=k``, a name no tag has."""
+    parts = F.split(bare, r"(?i)\x01img\x02", -1)
+    numbered = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("\x01img="), i - 1, F.lit("\x02"), p)))
+    return F.array_join(numbered, "")
+
+
+def image_numbers(bare: Column) -> Column:
+    """Which images a skeleton still holds, in order."""
+    return F.transform(F.regexp_extract_all(bare, F.lit(r"\x01img=([0-9]+)\x02"), F.lit(1)), lambda n: n.cast("int"))
+
+
+def without_image_numbers(bare: Column) -> Column:
+    return F.regexp_replace(bare, F.lit(r"\x01img=[0-9]+\x02"), F.lit("\x01img\x02"))
+
+
 def mark_pattern(names) -> str:
     """Pattern for the opening and closing marks of the given tags (any case)."""
     return rf"(?i)\x01/?(?:{'|'.join(names)})\x02"
@@ -162,103 +180,17 @@ def strip_wrappers(html: Column) -> Column:
 
 # --- element spans -------------------------------------------------------------------------------------------
 
-_FRAME = "struct<id:int,tag:string,open:int,text:int,links:int,hits:int>"
-ELEMENT = (
-    "struct<id:int,tag:string,open:int,close:int,depth:int,parent:int,start:int,len:int,links:int,hits:int>"
-)
-
-# What a mark does to the stack of open elements.
-_NOTHING, _PUSH, _PUSH_ENDING_SAME, _POP, _POP_ALL = 0, 1, 2, 3, 4
 
-
-def _mark_kind(name: Column) -> Column:
-    return (
-        F.when(name.isNull(), _POP_ALL)
-        .when(F.startswith(name, F.lit("/")), _POP)
-        .when((name == "") | name.isin(*VOID_TAGS), _NOTHING)
-        .when(name.isin(*SELF_CLOSING_SCOPES), _PUSH_ENDING_SAME)
-        .otherwise(_PUSH)
-    )
-
-
-def measured(names: Column, lengths: Column, links: str | None = None, hits: Column | None = None) -> Column:
-    """Mark structs for ``with_elements`` from parallel arrays, plus one last mark that closes whatever is open.
-
-    ``lengths[k]`` is the text length before mark k; ``links`` names a tag to count, ``hits`` is any other count.
-    """
-
-    def mark(n: Column, name: Column, hit: Column) -> Column:
-        return F.struct(
-            F.ltrim(name, F.lit("/")).alias("tag"),
-            _mark_kind(name).alias("kind"),
-            n.alias("len"),
-            (F.when(name == links, 1).otherwise(0) if links else F.lit(0)).alias("links"),
-            hit.alias("hits"),
-        )
-
-    if hits is None:
-        return F.zip_with(lengths, names, lambda n, name: mark(n, name, F.lit(0)))
-    pairs = F.arrays_zip(names.alias("name"), hits.alias("hit"))
-    return F.zip_with(lengths, pairs, lambda n, p: mark(n, p["name"], F.coalesce(p["hit"], F.lit(0))))
-
-
-def _last_of(stack: str, tag: str) -> str:
-    """1-based position of the innermost open element of that name, 0 without one."""
-    return (
-        f"coalesce(size({stack}) + 1 - nullif(cast(array_position(reverse({stack}.tag), {tag}) as int), 0), 0)"
-    )
-
-
-def _elements_sql() -> str:
-    scopes = ", ".join(
-        f"'{tag}', array({', '.join(repr(t) for t in outer)})" for tag, outer in SELF_CLOSING_SCOPES.items()
-    )
-    popped_to = f"coalesce(nullif({_last_of('s.stack', 'm.tag')}, 0) - 1, size(s.stack))"
-    blocked = f"""aggregate(try_element_at(map({scopes}), m.tag), 0,
-                            (far, t) -> greatest(far, {_last_of('s.stack', 't')}))"""
-    keep = f"""
-      case m.kind
-        when {_PUSH} then size(s.stack)
-        when {_POP} then if(coalesce(get(s.stack, size(s.stack) - 1).tag = m.tag, false), size(s.stack) - 1, {popped_to})
-        when {_POP_ALL} then 0
-        else if({_last_of('s.stack', 'm.tag')} > {blocked}, {popped_to}, size(s.stack)) end"""
-    popped = """
-      transform(slice(s.stack, keep + 1, size(s.stack)), (f, i) -> named_struct(
-        'id', f.id, 'tag', f.tag, 'open', f.open, 'close', s.pos, 'depth', keep + i + 1,
-        'parent', coalesce(get(s.stack, keep + i - 1).id, -1), 'start', f.text, 'len', s.text + m.len - f.text,
-        'links', s.links - f.links, 'hits', s.hits - f.hits))"""
-    frame = """named_struct('id', s.next_id, 'tag', m.tag, 'open', s.pos, 'text', s.text + m.len, 'links', s.links,
-                            'hits', s.hits)"""
-    totals = "'text', s.text + m.len, 'links', s.links + m.links, 'hits', s.hits + m.hits"
-    return f"""
-      aggregate(__marks,
-        named_struct('pos', 0, 'next_id', 0, 'text', 0, 'links', 0, 'hits', 0, 'stack', cast(array() as array<{_FRAME}>),
-                     'out', named_struct('tail', cast(array() as array<{ELEMENT}>),
-                                         'full', cast(array() as array<array<{ELEMENT}>>))),
-        (s, m) -> if(m.kind = {_NOTHING},
-          named_struct('pos', s.pos + 1, 'next_id', s.next_id, {totals}, 'stack', s.stack, 'out', s.out),
-          aggregate(array({keep}), s, (unused, keep) -> named_struct(
-            'pos', s.pos + 1, 'next_id', s.next_id + if(m.kind < {_POP}, 1, 0), {totals},
-            'stack', if(m.kind < {_POP}, concat(slice(s.stack, 1, keep), array({frame})), slice(s.stack, 1, keep)),
-            'out', if(keep = size(s.stack), s.out, named_struct(
-              'tail', if(size(s.out.tail) >= {BLOCK}, {popped}, concat(s.out.tail, {popped})),
-              'full', if(size(s.out.tail) >= {BLOCK}, concat(s.out.full, array(s.out.tail)), s.out.full)))))),
-        s -> sort_array(concat(flatten(s.out.full), s.out.tail)))"""
-
-
-def with_elements(df: DataFrame, marks: Column, into: str = "__spans") -> DataFrame:
-    """Element spans of a mark sequence (see ``measured``) as array<ELEMENT> in document order.
+def with_elements(
+    df: DataFrame, names: Column, lengths: Column, links: str | None = None, hits: Column | None = None, into: str = "__spans"
+) -> DataFrame:
+    """Element spans of a mark sequence as an array in document order (see ``spans.nested``).
 
     ``open``/``close`` are mark indices, ``parent`` is the ``id`` of the enclosing element or -1; ``len``, ``links``
-    and ``hits`` are sums over the span.
-
-    One fold with a stack of open elements, written as SQL because one parsed text plans much faster than hundreds of
-    column calls. A closing tag ends the innermost open element of its name and all elements inside it; without one it
-    is ignored. The inner one-element aggregate binds a value as ``let`` does, but without the deep copy ``transform``
-    makes of each result, which would copy the whole state at every step. The two-level ``out`` buffer is the one of
-    ``arrays.appended``.
+    and ``hits`` are sums over the span: of text, of marks named ``links``, of the numbers in ``hits``. The result is
+    settled, as the optimizer would otherwise move the kernel into expressions that cannot hold it.
     """
-    return df.withColumn("__marks", marks).withColumn(into, F.expr(_elements_sql())).drop("__marks")
+    return settled(df.withColumn(into, element_spans(names, lengths, links, hits)))
 
 
 def with_marks(df: DataFrame, pattern: str, bare: str = "bare") -> DataFrame:
@@ -284,7 +216,7 @@ def with_spans(df: DataFrame, pattern: str, bare: str = "bare", strip: bool = Tr
     without ``strip``)."""
     length = (lambda t: F.length(node_text(t))) if strip else (lambda t: F.lit(0))
     return with_marks(df, pattern, bare).transform(
-        with_elements, measured(F.col("__names"), F.transform("__texts", length))
+        with_elements, F.col("__names"), F.transform("__texts", length)
     )
 
 
@@ -303,6 +235,11 @@ def pieces_of(names: Column, texts: Column) -> Column:
     )
 
 
+def span_nodes(texts: Column, span: Column) -> Column:
+    """T2 of a span: its text nodes stripped one by one, however the page was split."""
+    return F.array_join(F.transform(F.slice(texts, span["open"] + 2, span["close"] - span["open"]), node_text), "")
+
+
 def span_text(texts: Column, span: Column) -> Column:
     """The segments inside a span, concatenated."""
     return F.array_join(F.slice(texts, span["open"] + 2, span["close"] - span["open"]), "")

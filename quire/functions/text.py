@@ -17,7 +17,8 @@ BLANK_CHARS = "".join(
 )
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NON_BLANK = BLANK.replace("[", "[^", 1)
-_ENTITY_HEAD = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
+_ENTITY_HEAD = r"^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?"
+_CONTROLS = (*range(1, 9), 11, *range(14, 32))  # no characters of a document; the first two are tag marks
 
 
 def py_strip(text: Column) -> Column:
@@ -49,11 +50,11 @@ def escape_body_text(text: Column) -> Column:
 
 
 def _from_code_point(reference: Column) -> Column:
-    digits = F.when(
-        F.lower(F.substring(reference, 2, 1)) == "x", F.conv(F.substring(reference, 3, 7), 16, 10)
-    ).otherwise(F.substring(reference, 2, 7))
-    number = digits.cast("bigint")
-    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    digits = F.regexp_extract(reference, "^#[xX]?0*([0-9A-Fa-f]*)$", 1)
+    in_range = (digits != "") & (F.length(digits) <= 7)
+    is_hex = F.lower(F.substring(reference, 2, 1)) == "x"
+    number = F.when(in_range & is_hex, F.conv(digits, 16, 10)).when(in_range, digits).cast("bigint")
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF) & ~number.isin(*_CONTROLS)
     as_utf32 = F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(0xFFFD).cast("bigint"))), 8, "0"))
     return F.decode(as_utf32, "UTF-32")
 

@@ -9,6 +9,7 @@ from quire.functions import markup
 from quire.functions.text import py_strip
 from quire.operators import paragraphs as para
 from quire.operators import regions
+from quire.operators.images import refs_of
 from quire.operators.markup_rows import is_plain_text
 from quire.operators.settle import settled
 from quire.rules import DEFAULT, Rules
@@ -22,10 +23,13 @@ def region_text(region: Column, rules: Rules = DEFAULT) -> Column:
 
 
 def document_text(df: DataFrame, bare: str = "bare", rules: Rules = DEFAULT) -> DataFrame:
-    """Skeleton to text: navigation out, main region, line breaks, lone links out, headers apart."""
-    region = df.transform(regions.remove_navigation, bare, rules).transform(regions.main_region, bare, rules)
+    """Skeleton to text: navigation out, main region, line breaks, lone links out, headers apart. Adds ``image_numbers``:
+    which images of the page the chosen region holds."""
+    numbered = df.withColumn(bare, markup.with_numbered_images(F.col(bare)))
+    region = numbered.transform(regions.remove_navigation, bare, rules).transform(regions.main_region, bare, rules)
+    region = region.withColumn("image_numbers", markup.image_numbers(F.col(bare)))
     cleaned = (
-        region.withColumn(bare, markup.bare_br_to_breaks(F.col(bare)))
+        region.withColumn(bare, markup.bare_br_to_breaks(markup.without_image_numbers(F.col(bare))))
         .transform(regions.remove_lone_links, bare, rules)
         .transform(regions.break_headers, bare, rules)
     )
@@ -33,10 +37,13 @@ def document_text(df: DataFrame, bare: str = "bare", rules: Rules = DEFAULT) ->
 
 
 def extract_content(
-    pages: DataFrame, html: str = "html", title: str = "title", rules: Rules = DEFAULT
+    pages: DataFrame, html: str = "html", title: str = "title", rules: Rules = DEFAULT, base: str | None = None
 ) -> DataFrame:
     """Replace ``html`` by ``paragraphs`` (null for plain text), ``content_html`` and ``n_chars``.
 
+    With ``base``, a column of base URLs, also ``image_refs`` (I1): the images of the chosen region, navigation images
+    left out.
+
     One narrow stage: each page is parsed in its own row, so nothing is shuffled and a hot site or key does not matter.
     """
     plain = is_plain_text(F.col(html))
@@ -49,9 +56,11 @@ def extract_content(
         para.wrap_paragraphs(F.col("paragraphs"))
     )
     kept = kept.withColumn("content_html", content)
+    if base:
+        kept = kept.withColumn("image_refs", refs_of(F.col(html), F.col(base), F.col("image_numbers"), rules))
     total = F.aggregate("paragraphs", F.lit(0), lambda n, p: n + F.length(p))
     sized = kept.withColumn("n_chars", F.when(plain, content_length(F.col("content_html"))).otherwise(total))
-    return settled(sized.drop("bare", html))
+    return settled(sized.drop("bare", "image_numbers", html))
 
 
 def content_length(content_html: Column) -> Column:

@@ -22,17 +22,21 @@ def is_large_enough(width: Column, height: Column, rules: Rules = DEFAULT) -> Co
     return (width >= rules.min_image_side) & (height >= rules.min_image_side)
 
 
-def image_refs(
-    pages: DataFrame, key: str = "page_id", html: str = "html", base: str = "url", rules: Rules = DEFAULT
-) -> DataFrame:
-    """(key, pos, src, url, file_name) of each usable <img>, in document order; narrow.
+REFS = "array<struct<pos:bigint,src:string,url:string,file_name:string>>"
+
 
-    Images without ``src`` and navigation images are left out; relative addresses are joined to the page's URL.
+def refs_of(html: Column, base: Column, numbers: Column | None = None, rules: Rules = DEFAULT) -> Column:
+    """Array of (pos, src, url, file_name) of each usable <img>, in document order.
+
+    ``numbers`` keeps only these images of the page, counted from 0. Images without ``src`` and navigation images are
+    left out; relative addresses are joined to the base.
     """
     tags = F.filter(
-        F.transform(markup.tokens(F.col(html)), lambda t, i: F.struct(i.alias("pos"), t.alias("token"))),
+        F.transform(markup.tokens(html), lambda t, i: F.struct(i.alias("pos"), t.alias("token"))),
         lambda t: t["token"].rlike(r"(?i)^<img[\s/>]"),
     )
+    if numbers is not None:
+        tags = let(tags, lambda found: F.transform(numbers, lambda n: F.get(found, n)))
     attributes = F.transform(
         tags,
         lambda t: F.struct(
@@ -42,14 +46,12 @@ def image_refs(
         ),
     )
 
-    def resolved(base_url: Column, found: Column) -> Column:
-        usable = F.filter(
-            found, lambda i: (i["src"] != "") & ~is_navigation_image(i["src"], i["alt"], rules)
-        )
+    def resolved(row: Column) -> Column:
+        usable = F.filter(row["found"], lambda i: (i["src"] != "") & ~is_navigation_image(i["src"], i["alt"], rules))
         return F.transform(
             usable,
             lambda i: let(
-                urls.absolute_url(base_url, i["src"]),
+                urls.absolute_url(row["base"], i["src"]),
                 lambda url: F.struct(
                     i["pos"].alias("pos"), i["src"].alias("src"), url.alias("url"),
                     urls.image_file_name(url).alias("file_name"),
@@ -57,8 +59,14 @@ def image_refs(
             ),
         )
 
-    found = pages.select(key, F.col(base).alias("__base"), attributes.alias("__found"))
-    return found.select(key, F.inline(markup.bound(["__base", "__found"], resolved)))
+    return let(F.struct(base.alias("base"), attributes.alias("found")), resolved).cast(REFS)
+
+
+def image_refs(
+    pages: DataFrame, key: str = "page_id", html: str = "html", base: str = "url", rules: Rules = DEFAULT
+) -> DataFrame:
+    """I1 over whole pages: (key, pos, src, url, file_name), narrow. ``extract_content`` has those of the chosen region."""
+    return pages.select(key, F.inline(refs_of(F.col(html), F.col(base), rules=rules)))
 
 
 def wanted_urls(refs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -82,6 +90,24 @@ def document_images(refs: DataFrame, images: DataFrame, key: str = "page_id", ru
     return first.select(key, "first.pos", "first.url", "file_name", urls.media_type(F.col("file_name")).alias("media_type"))
 
 
+def with_images(content: DataFrame, images: DataFrame, key: str = "doc_id", rules: Rules = DEFAULT) -> DataFrame:
+    """SNK2: ``image_refs`` of content rows replaced by ``images`` (filename, data): I2, I3, I6.
+
+    ``images`` has url, width, height and data. Which image goes where is settled on narrow rows; then bytes join them
+    once a document that shows them, as the store keeps them.
+    """
+    refs = content.select(key, F.inline("image_refs"))
+    shown = document_images(refs, images, key, rules)
+    one = images.groupBy("url").agg(F.max_by("data", "data").alias("data"))
+    listed = shown.join(one, "url").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.col("file_name").alias("filename"), "data"))).alias("__images")
+    )
+    made = F.transform("__images", lambda i: F.struct(i["filename"].alias("filename"), i["data"].alias("data")))
+    empty = F.array().cast("array<struct<filename:string,data:binary>>")
+    joined = content.drop("image_refs").join(listed, key, "left")
+    return joined.withColumn("images", F.coalesce(made, empty)).drop("__images")
+
+
 def collection_images(doc_images: DataFrame, spine_rows: DataFrame, key: str = "doc_id", collection: str = "collection") -> DataFrame:
     """Each file once per collection, credited to the first chapter that shows it.
 

@@ -66,7 +66,7 @@ def anchors(df: DataFrame, html: str = "html", with_dates: bool = False) -> Data
             fields = [
                 i.alias("pos"),
                 F.get(links, i).alias("href"),
-                markup.node_text(markup.span_text(texts, a)).alias("text"),
+                markup.span_nodes(texts, a).alias("text"),
             ]
             if dates is not None:
                 fields.append(F.try_element_at(dates, a["parent"]).alias("raw_date"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions.dates import MONTH_NAMES, parse_date
-from quire.functions.text import BLANK
+from quire.functions.text import BLANK, decode_entities
 
 # How a date looks at the start of a page's text.
-_DATE_BEFORE_BR = rf">([A-Z][a-z]+ \d{{4}}(?:, rev\. [A-Z][a-z]+ \d{{4}})?){BLANK}*<br"
-_YEAR_ALONE = rf">{BLANK}*(\d{{4}}){BLANK}*(?:<|[\n\r])"
+_SPACE = rf"(?:{BLANK}|&nbsp;|&#160;)"  # page source, so not decoded yet
+_DATE_BEFORE_BR = rf">([A-Z][a-z]+{_SPACE}\d{{4}}(?:,{_SPACE}rev\.{_SPACE}[A-Z][a-z]+{_SPACE}\d{{4}})?){_SPACE}*<br"
+_YEAR_ALONE = rf">{_SPACE}*(\d{{4}}){_SPACE}*(?:<|[\n\r])"
 _STARTS_WITH_DATE = rf"(?i)^(?:{MONTH_NAMES}){BLANK}+\d{{4}}"
 _STARTS_WITH_YEAR = rf"^(\d{{4}}){BLANK}"
 
@@ -38,7 +39,7 @@ def with_page_date(
         F.transform("__tags", lambda m: F.lower(F.regexp_extract(m, r"^<(/?[A-Za-z][A-Za-z0-9:-]*)", 1))),
     )
     marked = markup.with_elements(
-        marked, markup.measured(F.col("__names"), F.transform("__texts", lambda t: F.lit(0))), "__all"
+        marked, F.col("__names"), F.transform("__texts", lambda t: F.lit(0)), into="__all"
     ).withColumn("__spans", F.filter("__all", lambda s: s["tag"].isin("font", "p", "div")))
 
     def source_of(marks: Column, texts: Column, s: Column) -> Column:
@@ -88,7 +89,7 @@ def with_page_date(
         )
 
     found = marked.withColumn("__hit", markup.bound(["__tags", "__texts", "__spans"], candidates))
-    parsed = parse_date(F.col("__hit"))
+    parsed = parse_date(decode_entities(F.col("__hit")))
     return markup.without_temporaries(
         found.withColumns({date: parsed["date"], raw: parsed["raw_date_str"]})
     )

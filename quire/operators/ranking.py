@@ -7,16 +7,16 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Groups up to this many rows are numbered by a plain window; one task sorts that many keys easily.
-PLAIN_WINDOW_ROWS = 5_000_000
-
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for intermediate data; a temporary one only where none is named (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The shared folder the cluster names for intermediate data; a local session without one gets its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+        if not configured and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def numbered_by_window(df: DataFrame, group: list[Column], order: list[Column], into: str) -> DataFrame:
@@ -56,12 +56,6 @@ def numbered_by_range(df: DataFrame, group: list[Column], order: list[Column], i
 def numbered(
     df: DataFrame, group: list[Column], order: list[Column], into: str, by_range: bool | None = None
 ) -> DataFrame:
-    """Row numbers per group; ``by_range=None`` measures the largest group and picks the method.
-
-    The measuring pass is one partially aggregated count over the key columns.
-    """
-    if by_range is None:
-        sizes = df.groupBy(*[g.alias(f"__group{i}") for i, g in enumerate(group)]).count()
-        largest = sizes.agg(F.max("count").alias("n")).first()["n"] or 0
-        by_range = largest > PLAIN_WINDOW_ROWS
+    """Row numbers per group, by ranges whatever the size; ``by_range=False`` is for groups known to be small."""
+    by_range = by_range is None or by_range
     return (numbered_by_range if by_range else numbered_by_window)(df, group, order, into)

@@ -11,17 +11,16 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions.arrays import (
-    appended,
-    buffered,
     contains_any,
     count_contained,
-    empty_buffer,
     let,
     outermost,
     replace_ranges,
     strings,
 )
+from quire.functions.spans import lone_links
 from quire.functions.text import py_strip
+from quire.operators.settle import settled
 from quire.rules import DEFAULT, HEADER_ENDS, VOID_TAGS, Rules
 
 
@@ -68,11 +67,9 @@ def with_navigation_spans(df: DataFrame, bare: str = "bare", rules: Rules = DEFA
             lambda name, label: F.when((name == "a") & F.array_contains(words, label), 1).otherwise(0),
         ),
     )
-    marks = markup.bound(
-        ["__names", "__low", "__hits"],
-        lambda names, low, hits: markup.measured(names, F.transform(low, F.length), "a", hits),
+    marked = markup.with_elements(
+        marked, F.col("__names"), F.transform("__low", F.length), "a", F.col("__hits"), "__all"
     )
-    marked = markup.with_elements(marked, marks, "__all")
     return marked.withColumn("__spans", markup.bound(["__low", "__all"], choose))
 
 
@@ -133,12 +130,8 @@ def with_lone_link_spans(df: DataFrame, bare: str = "bare", rules: Rules = DEFAU
     """Adds ``__gone``: spans of links that stand alone, in document order.
 
     B7 looks at the neighbours as they are in the page: nothing, blank text or another link on both sides. B6 compares
-    a link with what is left of its direct parent's text after earlier removals, hence the fold; the fold's stack holds
-    the enclosing elements with their remaining text length.
+    a link with what is left of its direct parent's text after earlier removals (see ``spans.lone_links``).
     """
-    frame = "struct<close:int,tag:string,left:int>"
-    found = "struct<open:int,close:int,tag:string>"
-
     def alone(names: Column, texts: Column, e: Column) -> Column:
         def blank_or(text: Column, edge: Column) -> Column:
             return F.when(text == "", edge).otherwise(py_strip(text) == "")
@@ -153,34 +146,6 @@ def with_lone_link_spans(df: DataFrame, bare: str = "bare", rules: Rules = DEFAU
         last = after.isNull() | (after == "a") | (F.startswith(after, F.lit("/")) & (after != "/a"))
         return blank_or(F.get(texts, e["open"]), first) & blank_or(text_after, last)
 
-    def step(state: Column, e: Column) -> Column:
-        open_frames = F.filter(state["stack"], lambda f: f["close"] > e["open"])
-
-        def decide(_: Column, frames: Column) -> Column:
-            parent = F.get(frames, F.size(frames) - 1)
-            lone_in_parent = parent["tag"].isin(*rules.link_containers) & (
-                parent["left"] < e["len"] + rules.lone_link_slack
-            )
-            gone = e["short"] & (e["alone"] | F.coalesce(lone_in_parent, F.lit(False)))
-            taken = F.when(gone, e["len"]).otherwise(0)
-            return F.struct(
-                F.concat(
-                    F.transform(frames, lambda f: f.withField("left", f["left"] - taken)),
-                    F.array(F.struct(e["close"].alias("close"), e["tag"].alias("tag"), e["len"].alias("left"))),
-                ).alias("stack"),
-                F.when(
-                    gone,
-                    appended(
-                        state["gone"],
-                        F.array(F.struct(e["open"].alias("open"), e["close"].alias("close"), e["tag"].alias("tag"))),
-                    ),
-                )
-                .otherwise(state["gone"])
-                .alias("gone"),
-            )
-
-        return F.aggregate(F.array(open_frames), state, decide)
-
     # Pages without a link have nothing to judge; leave their tags unparsed.
     linked = df.withColumn("__linked", F.when(F.col(bare).rlike(markup.mark_pattern(["a"])), F.col(bare)))
     spans = markup.with_spans(linked, markup.MARK, "__linked")
@@ -200,17 +165,7 @@ def with_lone_link_spans(df: DataFrame, bare: str = "bare", rules: Rules = DEFAU
             ),
         ),
     )
-    return judged.withColumn(
-        "__gone",
-        F.aggregate(
-            "__judged",
-            F.struct(
-                F.array().cast(f"array<{frame}>").alias("stack"), empty_buffer(found).alias("gone")
-            ),
-            step,
-            lambda s: buffered(s["gone"]),
-        ),
-    )
+    return settled(judged.withColumn("__gone", lone_links(F.col("__judged"), rules.link_containers, rules.lone_link_slack)))
 
 
 def remove_lone_links(df: DataFrame, bare: str = "bare", rules: Rules = DEFAULT) -> DataFrame:

@@ -30,7 +30,8 @@ def last_per_document(source: DataFrame, order: str = "pos") -> DataFrame:
     Partially aggregated, so an id repeated in a third of all rows is one row per task in the shuffle.
     """
     def latest(name: str) -> Column:
-        ordered = F.struct(F.col(order).alias("at"), F.col(name).alias("v"))
+        # One order for all fields, also where positions repeat, so that they come from one row.
+        ordered = F.struct(F.col(order).alias("at"), F.col("url").alias("u"), F.col("title").alias("t"), F.col(name).alias("v"))
         return F.max(F.when(F.col(name).isNotNull(), ordered))["v"].alias(name)
 
     read = latest("read") if "read" in source.columns else F.lit(None).cast("boolean").alias("read")

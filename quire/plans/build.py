@@ -12,16 +12,15 @@ from quire.functions.urls import safe_key
 from quire.operators import chapters as ch
 from quire.operators import incremental, links, registry
 from quire.operators.content import extract_content, non_empty
+from quire.operators.images import collection_images, with_images
 from quire.operators.page_dates import with_page_date
+from quire.operators.settle import settled
 from quire.rules import DEFAULT, Rules
 from quire.sources.content_store import SCHEMA as CONTENT_SCHEMA
 from quire.sources.content_store import ContentStore
 from quire.sources.pages import write_collection
 from quire.sources.versioned import VersionedTable
 
-
-# Up to this many addresses (some tens of megabytes) are broadcast; measured before each use.
-FEW_DOCUMENTS = 500_000
 LISTING_SCHEMA = "pos bigint, doc_id string, href string, title string, url string, date string, raw_date_str string"
 
 
@@ -31,6 +30,7 @@ class Collection:
     spine: DataFrame
     toc: DataFrame
     metadata: DataFrame
+    images: DataFrame
 
 
 def one_page_per_url(pages: DataFrame) -> DataFrame:
@@ -43,18 +43,28 @@ def one_page_per_url(pages: DataFrame) -> DataFrame:
     return pages.withColumn("__copy", first).filter("__copy = 1").drop("__copy")
 
 
-def parse_pages(pages: DataFrame, todo: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """SRC1, D2, extract_content: content rows for the documents in ``todo`` (doc_id, url, title).
+def parse_pages(pages: DataFrame, todo: DataFrame, rules: Rules = DEFAULT, images: DataFrame | None = None) -> DataFrame:
+    """SRC1, D2, extract_content: content rows for the documents in ``todo`` (doc_id, url, title), with the images of the
+    chosen regions out of ``images`` (url, width, height, data), if given.
 
-    The addresses to do are counted first. Few of them are sent to every task, so that pages nobody asked for never move.
-    Otherwise most pages are wanted anyway: each task keeps one copy per address, which keeps an often landed address
-    from ending in one task, and the join with ``todo`` works on the resulting partitioning.
+    The copy to parse is chosen on ids and addresses alone, by an aggregate that combines before the shuffle, and only
+    the chosen pages are then looked up by ``page_id``, the key of ``pages``; the optimizer filters or broadcasts by the
+    size it measures.
     """
     pages = pages.filter(non_empty(F.col("html"))).select("page_id", "url", "html")
-    if todo.count() <= FEW_DOCUMENTS:
-        pages = pages.join(F.broadcast(todo.select("url")), "url", "left_semi")
-    found = todo.select("doc_id", "url", "title").join(one_page_per_url(pages), "url")
-    parsed = found.transform(with_page_date).transform(extract_content, rules=rules)
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    chosen = todo.select("doc_id", "url", "title").join(first, "url")
+    found = chosen.join(pages.drop("url"), "page_id")
+    parsed = found.transform(with_page_date).transform(extract_content, rules=rules, base="url")
+    return content_rows(parsed, images, rules)
+
+
+def content_rows(parsed: DataFrame, images: DataFrame | None = None, rules: Rules = DEFAULT) -> DataFrame:
+    """Rows of ``ContentStore`` out of parsed pages with doc_id, url, title and image_refs."""
+    if images is None:
+        parsed = parsed.withColumn("images", F.array().cast("array<struct<filename:string,data:binary>>"))
+    else:
+        parsed = with_images(settled(parsed), images, rules=rules)
     return parsed.select(
         "doc_id",
         "url",
@@ -64,16 +74,32 @@ def parse_pages(pages: DataFrame, todo: DataFrame, rules: Rules = DEFAULT) -> Da
         "n_chars",
         "page_date",
         "page_raw_date",
-        F.array().cast("array<struct<filename:string,data:binary>>").alias("images"),
+        "images",
     )
 
 
-def with_page_dates(known: DataFrame, new_content: DataFrame) -> DataFrame:
-    """D3: registry rows take over the dates freshly parsed pages state about themselves."""
-    dates = new_content.filter(F.col("page_date").isNotNull()).select(
-        "doc_id", F.col("page_date").alias("__date"), F.col("page_raw_date").alias("__raw")
+def listed(index_pages: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Links of all index pages with one numbering: pages by id, links by place. The running sum is over one row a page."""
+    found = links.document_links(index_pages, rules=rules)
+    sizes = found.groupBy("page_id").agg((F.max("pos") + 1).alias("n"))
+    before = Window.orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("page_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__shift"))
+    return found.join(shifts, "page_id").withColumn("pos", F.col("pos") + F.col("__shift")).drop("page_id", "__shift")
+
+
+def with_page_dates(known: DataFrame, new_content: DataFrame, all_content: DataFrame) -> DataFrame:
+    """D3: registry rows take over the dates freshly parsed pages state about themselves.
+
+    Rows without a date also take the one stored with their content, so a run that died between storing content and
+    writing dates loses none.
+    """
+    of = lambda content, new: content.filter(F.col("page_date").isNotNull()).select(
+        "doc_id", F.lit(new).alias("new"), F.col("page_date").alias("d"), F.col("page_raw_date").alias("r")
     )
-    return known.join(dates, "doc_id", "left").withColumns(
+    dates = of(new_content, True).union(of(all_content, False)).groupBy("doc_id").agg(F.max(F.struct("new", "d", "r")).alias("b"))
+    joined = known.join(dates, "doc_id", "left")
+    use = F.col("b.new") | F.col("date").isNull()
+    return joined.withColumns({"__date": F.when(use, F.col("b.d")), "__raw": F.when(use, F.col("b.r"))}).drop("b").withColumns(
         {
             "date": F.coalesce("__date", "date"),
             "raw_date_str": F.when(F.col("__date").isNotNull(), F.col("__raw")).otherwise(F.col("raw_date_str")),
@@ -96,7 +122,14 @@ def compile_collection(
     made = ch.build_chapters(docs, rules).withColumn("collection", F.lit(name))
     spine = ch.spine(made, order=order, exact_parallel=by_range)
     sizes = spine.groupBy("collection").agg(F.count(F.lit(1)).alias("n_chapters"))
-    return Collection(made, spine, ch.toc(made, spine), ch.with_metadata(sizes, run_date, rules))
+    return Collection(made, spine, ch.toc(made, spine), ch.with_metadata(sizes, run_date, rules), shown_images(content, spine))
+
+
+def shown_images(content: DataFrame, spine: DataFrame) -> DataFrame:
+    """Each file of a collection once, credited to its first chapter; bytes stay with the content."""
+    files = content.select("doc_id", F.posexplode(F.transform("images", lambda i: i["filename"])).alias("pos", "file_name"))
+    files = files.withColumn("url", F.lit(None).cast("string"))
+    return collection_images(files, spine.select("collection", "ordinal", "doc_id")).drop("url")
 
 
 def build(
@@ -110,6 +143,7 @@ def build(
     force_refresh: bool = False,
     rules: Rules = DEFAULT,
     output: str | None = None,
+    images: DataFrame | None = None,
 ) -> tuple[Collection, dict[str, int]]:
     """One run against the tables under ``root`` (registry and content).
 
@@ -131,19 +165,19 @@ def build(
         docs = table.read()
     else:
         listings = VersionedTable(spark, f"{root}/listing", LISTING_SCHEMA)
-        listings.write(links.document_links(index_pages, rules=rules))
+        listings.write(listed(index_pages, rules))
         listing = listings.read()
         if listing.isEmpty():
             raise ValueError("the index lists no documents")
         table.write(registry.upsert(table.read(), listing, run_at, rules))
         docs = incremental.listed_in_registry(listing.select("doc_id").distinct(), table.read())
         todo = docs.join(store.read().select("doc_id"), "doc_id", "left_anti")
-        batch = store.append(parse_pages(pages, todo, rules))
+        batch = store.append(parse_pages(pages, todo, rules, images))
         new_content = spark.read.schema(CONTENT_SCHEMA).parquet(store._batches().path_of(batch))
         n_new = new_content.count()
-        table.write(with_page_dates(table.read(), new_content))
+        table.write(with_page_dates(table.read(), new_content, store.read()))
         docs = incremental.listed_in_registry(docs.select("doc_id"), table.read())
     collection = compile_collection(docs, store.read(), run_at.date(), order, rules=rules)
     if output:
-        write_collection(collection.chapters, collection.spine, collection.toc, collection.metadata, output)
+        write_collection(collection.chapters, collection.spine, collection.toc, collection.metadata, output, collection.images)
     return collection, {"cached": n_before, "fetched": n_new}

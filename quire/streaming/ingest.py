@@ -7,20 +7,19 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.urls import safe_key
 from quire.operators import registry
 from quire.operators.content import extract_content, non_empty
 from quire.operators.markup_rows import with_title
 from quire.operators.page_dates import with_page_date
 from quire.operators.regions import skeletons
-from quire.plans.build import one_page_per_url
+from quire.plans.build import content_rows, one_page_per_url
 from quire.rules import DEFAULT, Rules
 from quire.sources.content_store import ContentStore
 from quire.sources.pages import PAGE_SCHEMA
 from quire.sources.versioned import VersionedTable
 
 
-def parse_batch(pages: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+def parse_batch(pages: DataFrame, rules: Rules = DEFAULT, images: DataFrame | None = None) -> DataFrame:
     """New pages to content rows; the id is the address. Narrow but for the per-address de-duplication."""
     fetched = one_page_per_url(pages.filter(non_empty(F.col("html"))).select("page_id", "url", "html"))
     titled = (
@@ -29,18 +28,8 @@ def parse_batch(pages: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
         .transform(with_title, "bare", F.col("url"), rules)
         .drop("bare")
     )
-    parsed = titled.transform(with_page_date, "source").transform(extract_content, "source", "title", rules)
-    return parsed.select(
-        F.col("url").alias("doc_id"),
-        "url",
-        "title",
-        safe_key(F.col("url")).alias("safe_key"),
-        "content_html",
-        "n_chars",
-        "page_date",
-        "page_raw_date",
-        F.array().cast("array<struct<filename:string,data:binary>>").alias("images"),
-    )
+    parsed = titled.transform(with_page_date, "source").transform(extract_content, "source", "title", rules, "url")
+    return content_rows(parsed.withColumn("doc_id", F.col("url")), images, rules)
 
 
 class PageIngest:
@@ -50,8 +39,8 @@ class PageIngest:
     a batch repeated after a failure writes the same again or finds it done.
     """
 
-    def __init__(self, spark: SparkSession, source: str, root: str, run_at: dt.datetime, rules: Rules = DEFAULT):
-        self.spark, self.source, self.root, self.run_at, self.rules = spark, source, root, run_at, rules
+    def __init__(self, spark: SparkSession, source: str, root: str, run_at: dt.datetime, rules: Rules = DEFAULT, images: DataFrame | None = None):
+        self.spark, self.source, self.root, self.run_at, self.rules, self.images = spark, source, root, run_at, rules, images
         self.registry = VersionedTable(spark, f"{root}/registry", registry.SCHEMA)
         self.content = ContentStore(spark, f"{root}/content")
 
@@ -62,7 +51,7 @@ class PageIngest:
             arriving = batch.select(F.col("url").alias("doc_id")).distinct()
             known = self.content.read().select("doc_id").join(arriving, "doc_id", "left_semi")
             fresh = batch.join(known, batch["url"] == known["doc_id"], "left_anti")
-            self.content.append(parse_batch(fresh, self.rules), version)
+            self.content.append(parse_batch(fresh, self.rules, self.images), version)
         if version not in self.registry.versions():
             self.registry.write(self._registry_after(batch, version), version)
 

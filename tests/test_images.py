@@ -18,14 +18,24 @@ def png(width, height):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def webp(kind, width, height):
+    if kind == b"VP8 ":
+        body = b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", width, height)
+    elif kind == b"VP8L":
+        body = b"\x2f" + struct.pack("<I", width - 1 | height - 1 << 14)
+    else:
+        body = b"\0\0\0\0" + struct.pack("<I", width - 1)[:3] + struct.pack("<I", height - 1)[:3]
+    return b"RIFF\0\0\0\0WEBP" + kind + struct.pack("<I", len(body)) + body
+
+
 def test_image_files(spark, tmp_path):
-    files = {"a.png": png(49, 60), "b.png": png(50, 50), "c.png": png(200, 20), "d.png": b"garbage", "e.webp": b"RIFF\0\0\0\0WEBPVP8 "}
+    files = {"a.png": png(49, 60), "b.png": png(50, 50), "c.png": png(200, 20), "d.png": b"garbage", "e.webp": webp(b"VP8 ", 64, 70), "f.webp": webp(b"VP8L", 300, 49), "g.webp": webp(b"VP8X", 70_000, 51)}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     found = {r.path.rsplit("/", 1)[-1]: (r.width, r.height) for r in read_images(spark, str(tmp_path)).collect()}
-    assert found == {"a.png": (49, 60), "b.png": (50, 50), "c.png": (200, 20), "e.webp": (None, None)}
+    assert found == {"a.png": (49, 60), "b.png": (50, 50), "c.png": (200, 20), "e.webp": (64, 70), "f.webp": (300, 49), "g.webp": (70_000, 51)}
     large = images.usable_images(read_images(spark, str(tmp_path))).select("path").collect()
-    assert [r.path.rsplit("/", 1)[-1] for r in large] == ["b.png"]
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in large) == ["b.png", "e.webp", "g.webp"]
 
 
 HTML = """<p><img src="pic.gif" alt="chart"><img><img src=""><IMG SRC='http://o.example/x.PNG'><img src="spacer.gif">

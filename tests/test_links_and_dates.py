@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quire.functions.dates import DATE_LINE, iso_date, nearby_date
 from quire.operators import links, page_dates
 from quire.rules import DEFAULT
 
@@ -60,9 +61,9 @@ def test_first_link_wins_like_the_loop(spark):
 
 def test_page_dates(spark):
     cases = {
-        '<font size="2" face="verdana">July 2023<br /><br />Text</font>': ("2023-07-01", "July 2023"),
-        '<p>x</p><font size="2" face="verdana">March 2008, rev. June 2008<br>x</font>': ("2008-03-01", "March 2008, rev. June 2008"),
-        '<font size="2" face="verdana">1993\nText</font>': ("1993-01-01", "1993"),
+        '<font size="2" face="verdana">October 2017<br />\n<br />Words</font>': ("2017-10-01", "October 2017"),
+        '<p>x</p><font size="2" face="verdana">August 2012, rev. May 2015<br>x</font>': ("2012-08-01", "August 2012, rev. May 2015"),
+        '<font size="2" face="verdana">1987\nWords</font>': ("1987-01-01", "1987"),
         '<font size=3>May 2001<br></font><font size="2" face="verdana">April 2002<br></font>': ("2002-04-01", "April 2002"),
         "<font>Augusta 2001<br>x</font>": ("2001-01-01", "Augusta 2001"),
         "<font>Foo 1850<br>x</font><p>2001 on</p>": (None, "Foo 1850"),
@@ -83,3 +84,18 @@ def test_page_date_takes_precedence_only_when_parsed(spark):
     )
     rows = df.transform(page_dates.prefer_page_date).orderBy("doc_id").collect()
     assert [(r.date, r.raw_date_str) for r in rows] == [("2002-01-01", "2002"), ("2001-01-01", "2001")]
+
+
+def test_wide_blanks_in_dates(spark, values):
+    assert values(iso_date, ["March\u00a02004", "x\u2003May\u2003 1999"]) == ["2004-03-01", "1999-05-01"]
+    assert values(nearby_date, ["in March\u00a02004 and"]) == ["March\u00a02004"]
+    assert values(lambda t: t.rlike(DATE_LINE), ["March\u00a02004", "March 2004,\u00a0rev. May\u00a02005"]) == [True, True]
+    for html in ("<font>March&nbsp;2004<br>x</font>", "<p>March&nbsp;2004 began</p>", "<font>March\u00a02004<br></font>"):
+        df = spark.createDataFrame([(html,)], "html string").transform(page_dates.with_page_date)
+        assert df.first().page_date == "2004-03-01"
+
+
+def test_anchor_text_is_the_same_with_and_without_dates(spark):
+    df = spark.createDataFrame([(1, "<p><a href='x.html'> Foo <b>Bar </b> baz</a></p>")], "page_id int, html string")
+    for with_dates in (True, False):
+        assert [a.text for a in df.transform(links.anchors, with_dates=with_dates).first().anchors] == ["FooBarbaz"]

@@ -77,7 +77,7 @@ def test_texts(value):
 
 
 def test_line_breaks(value):
-    assert value(markup.br_to_breaks, "Line 1<br><br>Line 2") == "Line 1\n\nLine 2"
+    assert value(markup.br_to_breaks, "left<br>  <br/>right<br>") == "left\n\nright\n"
     assert value(markup.br_to_breaks, "a<BR />\n <br>b<br/>c") == "a\n\nb\nc"
 
 
@@ -111,3 +111,9 @@ def test_headers(spark):
     assert headers(spark, "a<b>Head</b>c") == "a\n\n\n\nHead\n\n\n\nc"
     assert headers(spark, "a<b>Hea</b>c") == "a\nHea\nc"
     assert headers(spark, f"a<strong>{'x' * 100}</strong>c") == f"a\n{'x' * 100}\nc"
+
+
+def test_references_to_controls_make_no_marks(value):
+    bare = lambda h: markup.node_text(markup.skeleton(h))
+    assert value(bare, "<p>before &#1;lost text</p><p>after</p>") == "before \ufffdlost textafter"
+    assert value(markup.skeleton, "&#x1;script&#x2;&#0000000065;&#x00000042;&#99999999999;&#0;") == "\ufffdscript\ufffdAB\ufffd\ufffd"

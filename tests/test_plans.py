@@ -32,7 +32,7 @@ def test_parsing_is_one_narrow_stage(pages):
         extract_content(pages.select("page_id", "html", F.lit("").alias("title")).transform(with_page_date), rules=rules),
     ):
         text = plan(df)
-        assert "Exchange" not in text and "Python" not in text and "unused" not in re.findall(r"ReadSchema: (.*)", text)[0]
+        assert "Exchange" not in text and "BatchEvalPython" not in text and "unused" not in re.findall(r"ReadSchema: (.*)", text)[0]
 
 
 def test_markup_is_not_parsed_twice(pages):

@@ -1,9 +1,12 @@
 import random
+import time
+import timeit
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import markup
+from quire.functions.spans import nested
 from quire.operators import regions
 from quire.operators.content import extract_content
 from quire.rules import DEFAULT
@@ -129,8 +132,8 @@ def extracted(spark, html, title="", compat=True):
 
 @pytest.mark.parametrize("compat", [True, False])
 def test_whole_page(spark, compat):
-    body = "This is the essay content. It should be extracted properly and turned into paragraphs of real length."
-    page = PAGE.format(f"January 2024<br><br>{body}<br><br>Want to start a startup? Get funded by Y Combinator.")
+    body = "Rivers carry sand down to the plain, and every flood lays another thin sheet of it over the last one."
+    page = PAGE.format(f"March 2011<br><br>{body}<br><br>Y Combinator again.")
     found = extracted(spark, page, "Test", compat)
     assert found.paragraphs == [body]
     assert found.content_html == f'<div class="essay-content"><p>{body}</p></div>'
@@ -139,7 +142,7 @@ def test_whole_page(spark, compat):
 
 def test_empty_and_malformed_pages(spark):
     assert extracted(spark, "").content_html == '<div class="essay-content">\n</div>'
-    odd = extracted(spark, "<p>Unclosed paragraph<div>Mixed tags with enough content to test</p></div>")
+    odd = extracted(spark, "<i>Never closed<ul>and closed twice, among some words of filler</i></ul></ul>")
     assert odd.content_html.startswith('<div class="essay-content">')
 
 
@@ -147,3 +150,30 @@ def test_compat_glues_where_blocks_break(spark):
     page = "<body><p>First paragraph that is long enough to stay put, really and truly.</p><p>Second paragraph that is also long enough to stay put.</p></body>"
     assert len(extracted(spark, page, compat=True).paragraphs) == 1
     assert len(extracted(spark, page, compat=False).paragraphs) == 2
+
+
+def test_huge_pages_take_time_in_proportion(spark):
+    """Tens of thousands of elements, closed or not, go through the whole chain in seconds."""
+    for html in ("<p>x</p>" * 50_000, "<span>x" * 50_000):
+        began = time.monotonic()
+        extracted(spark, f"<body>{html}</body>", compat=False)
+        assert time.monotonic() - began < 30
+
+
+def test_kernels_are_linear():
+    def took(n):
+        names, lengths = ["span"] * n + ["p", "/p"] * n, [1] * (3 * n + 1)
+        return min(timeit.repeat(lambda: nested(names, lengths, None, None), timer=time.process_time, number=1, repeat=7))
+
+    assert took(40_000) < 3 * took(20_000) + 0.05  # four times as long if it were quadratic
+
+
+def test_images_of_the_chosen_region(spark):
+    rules = DEFAULT.but(region_tags=("article",), nav_tags=("table",))
+    text = "Words of a page that is long enough to be the region of it. " * 12
+    html = ('<table><tr><td><img src="banner.gif">Home Essays RSS Bio</td></tr></table><article>' + text + '<img src="a.png"><IMG SRC="b.png" alt=c>'
+            '<img src="home.gif"><img></article><p><img src="foot.png"></p>')
+    df = spark.createDataFrame([(html, "", "http://s.example/d/x.html")], "html string, title string, url string")
+    found = extract_content(df, rules=rules, base="url").first()
+    assert [i.url for i in found.image_refs] == ["http://s.example/d/a.png", "http://s.example/d/b.png"]
+    assert "img" not in found.content_html

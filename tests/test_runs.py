@@ -4,11 +4,13 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import incremental, registry
-from quire.plans.build import build, parse_pages
+from quire.plans.build import build, listed, parse_pages
 from quire.rules import DEFAULT
 from quire.sources import content_store, registry_json
+from quire.sources.content_store import ContentStore
 from quire.sources.pages import read_pages, write_bucketed
 from quire.sources.versioned import VersionedTable
 from quire.streaming.ingest import PageIngest
@@ -56,12 +58,44 @@ def test_build_rebuild_and_force(spark, site, tmp_path):
         build(spark, str(tmp_path / "none"), none, None, AT, rebuild=True)
 
 
-def test_many_documents_to_parse_give_the_same(spark, site, monkeypatch):
+def test_first_copies_are_parsed(spark, site):
     pages, _ = site
     todo = spark.createDataFrame([("a.html", "http://s.example/a.html", "A"), ("g", "http://s.example/gone.html", "G")], "doc_id string, url string, title string")
-    few = parse_pages(pages, todo).select("doc_id", "page_date").collect()
-    monkeypatch.setattr("quire.plans.build.FEW_DOCUMENTS", 0)
-    assert few == parse_pages(pages, todo).select("doc_id", "page_date").collect() == [("a.html", "2004-01-01")]
+    assert parse_pages(pages, todo).select("doc_id", "page_date").collect() == [("a.html", "2004-01-01")]
+
+
+def test_several_index_pages_are_numbered_together(spark):
+    lists = [(2, '<a href="http://z.example/1.html">Zeta zero</a><a href="b.html">Beta page</a>'), (1, '<a href="a.html">Alpha page</a><a href="c.html">Gamma page</a>')]
+    rows = listed(spark.createDataFrame(lists, "page_id bigint, html string"), RULES.but(external_allow=("example",)))
+    assert [r.title for r in rows.orderBy("pos").collect()] == ["Alpha page", "Gamma page", "Zeta zero", "Beta page"]
+    assert [r.pos for r in rows.orderBy("pos").collect()] == [0, 1, 2, 3]
+    tied = spark.createDataFrame([("d", "Alpha", "http://z/1", None, None, 0), ("d", "Zeta", "http://a/2", None, None, 0)], "doc_id string, title string, url string, date string, raw_date_str string, pos bigint")
+    row = registry.last_per_document(tied).first()
+    assert (row.title, row.url) in {("Alpha", "http://z/1"), ("Zeta", "http://a/2")}
+
+
+def test_dates_survive_a_crash_before_the_registry(spark, site, tmp_path):
+    """Content was stored, then the run died: the next run takes the date from the store."""
+    pages, _ = site
+    index = spark.createDataFrame([(9, '<a href="a.html">Alpha page</a>')], "page_id bigint, html string")
+    root = str(tmp_path / "crash")
+    todo = spark.createDataFrame([("a.html", "http://s.example/a.html", "Alpha page")], "doc_id string, url string, title string")
+    ContentStore(spark, f"{root}/content").append(parse_pages(pages, todo, RULES))
+    book, counts = build(spark, root, pages, index, AT, rules=RULES)
+    assert counts == {"cached": 1, "fetched": 0}
+    assert [r.title for r in book.toc.collect()] == ["Alpha page (January 2004)"]
+
+
+def test_images_reach_content_and_collection(spark, site, tmp_path):
+    pages, index = site
+    shown = pages.withColumn("html", F.regexp_replace("html", "</font>", "<img src=pic.gif><img src=spacer.gif><img src=tiny.png></font>"))
+    files = [("http://s.example/pic.gif", 90, 90, b"GIF"), ("http://s.example/tiny.png", 9, 90, b"x"), ("http://s.example/spacer.gif", 90, 90, b"s")]
+    images = spark.createDataFrame(files, "url string, width int, height int, data binary")
+    root, out = str(tmp_path / "run"), str(tmp_path / "out")
+    book, _ = build(spark, root, shown, index, AT, rules=RULES, output=out, images=images)
+    stored = {r.doc_id: [bytes(i.data) for i in r.images] for r in ContentStore(spark, f"{root}/content").read().collect()}
+    assert stored["a.html"] == stored["b.html"] == [b"GIF"]
+    assert [(r.ordinal, r.doc_id) for r in spark.read.parquet(f"{out}/images").collect()] == [(1, "a.html")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
