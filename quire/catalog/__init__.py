@@ -4,7 +4,7 @@ import importlib
 
 from quire.catalog.base import QUERIES, SQL
 
-MODULES = ("markup_queries", "link_queries", "region_queries", "collection_queries", "registry_queries")
+MODULES = ("markup_queries", "link_queries", "region_queries", "collection_queries", "registry_queries", "sink_queries")
 
 
 def _load() -> None:
