@@ -43,6 +43,10 @@ def sql_decode(column: str) -> str:
     )
 
 
+def sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
 def sql_strip(column: str) -> str:
     return rf"regexp_replace({column}, '^\s+|\s+$', '', 'g')"
 

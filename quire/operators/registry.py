@@ -41,20 +41,21 @@ def last_per_document(source: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def upsert(
-    registry: DataFrame, source: DataFrame, seen_at: dt.datetime, rules: Rules = DEFAULT, order: str = "pos"
-) -> DataFrame:
+    registry: DataFrame, source: DataFrame, seen_at: dt.datetime, rules: Rules = DEFAULT, order: str = "pos",
+    all_rows: DataFrame | None = None,
+) -> DataFrame:
     """M1: new ids are added unread, known ones get the source's title and url, and its date, raw date and read flag
     where not null.
 
     An empty raw date means "none" and keeps the known one; with ``compat`` it overwrites. New documents follow the
-    known ones in ``first_pos`` order.
+    known ones in ``first_pos`` order; ``all_rows`` is the whole registry where ``registry`` is only a part of it.
     """
     if not rules.compat:
         source = source.withColumn("raw_date_str", F.nullif("raw_date_str", F.lit("")))
     latest = last_per_document(source, order).alias("s")
     known = registry.alias("t")
     # Positions of new rows continue after the known ones.
-    offset = registry.agg(F.coalesce(F.max("first_pos"), F.lit(-1)) + 1).scalar()
+    offset = (registry if all_rows is None else all_rows).agg(F.coalesce(F.max("first_pos"), F.lit(-1)) + 1).scalar()
     joined = known.join(latest, F.col("t.doc_id") == F.col("s.doc_id"), "full_outer")
 
     def prefer_source(name: str) -> Column:

@@ -16,7 +16,7 @@ from quire.plans.build import content_rows, one_page_per_url
 from quire.rules import DEFAULT, Rules
 from quire.sources.content_store import ContentStore
 from quire.sources.pages import PAGE_SCHEMA
-from quire.sources.versioned import VersionedTable
+from quire.sources.versioned import ChangeLog
 
 
 def parse_batch(pages: DataFrame, rules: Rules = DEFAULT, images: DataFrame | None = None) -> DataFrame:
@@ -35,13 +35,14 @@ def parse_batch(pages: DataFrame, rules: Rules = DEFAULT, images: DataFrame | No
 class PageIngest:
     """Parses each newly landed page once and keeps registry and content under ``root``.
 
-    Registry and content versions carry the batch number, and each batch reads the registry version before its own, so
-    a batch repeated after a failure writes the same again or finds it done.
+    Registry and content versions carry the batch number, and each batch reads the registry as it was before its own, so
+    a batch repeated after a failure writes the same again or finds it done. A batch writes the registry rows of the
+    pages it brings and no others; now and then the whole is written anew.
     """
 
     def __init__(self, spark: SparkSession, source: str, root: str, run_at: dt.datetime, rules: Rules = DEFAULT, images: DataFrame | None = None):
         self.spark, self.source, self.root, self.run_at, self.rules, self.images = spark, source, root, run_at, rules, images
-        self.registry = VersionedTable(spark, f"{root}/registry", registry.SCHEMA)
+        self.registry = ChangeLog(spark, f"{root}/registry", registry.SCHEMA, "doc_id")
         self.content = ContentStore(spark, f"{root}/content")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -53,11 +54,11 @@ class PageIngest:
             fresh = batch.join(known, batch["url"] == known["doc_id"], "left_anti")
             self.content.append(parse_batch(fresh, self.rules, self.images), version)
         if version not in self.registry.versions():
-            self.registry.write(self._registry_after(batch, version), version)
+            self.registry.write(self._registry_changes(batch, version), version)
+        self.registry.compact(version)
 
-    def _registry_after(self, batch: DataFrame, version: int) -> DataFrame:
-        before = [v for v in self.registry.versions() if v < version]
-        known = self.registry.read(before[-1]) if before else registry.empty_registry(self.spark)
+    def _registry_changes(self, batch: DataFrame, version: int) -> DataFrame:
+        known = self.registry.read(version)
         store = self.content._batches()
         new = self.spark.read.schema(store.schema).parquet(store.path_of(version))
         parsed = new.select(
@@ -66,7 +67,8 @@ class PageIngest:
         # Pages seen before are not parsed again, only noted as seen.
         arrived = batch.filter(non_empty(F.col("html"))).groupBy("url").agg(F.min("page_id").alias("pos"))
         source = arrived.withColumnRenamed("url", "doc_id").join(parsed, "doc_id", "left")
-        return registry.upsert(known, source, self.run_at, self.rules)
+        touched = known.join(source.select("doc_id"), "doc_id", "left_semi").select(*known.columns)
+        return registry.upsert(touched, source, self.run_at, self.rules, all_rows=known)
 
     def run(self, max_files_per_batch: int | None = None) -> None:
         """Work through everything that has landed, then stop."""

@@ -12,7 +12,7 @@ from quire.rules import DEFAULT
 from quire.sources import content_store, registry_json
 from quire.sources.content_store import ContentStore
 from quire.sources.pages import read_pages, write_bucketed
-from quire.sources.versioned import VersionedTable
+from quire.sources.versioned import ChangeLog, VersionedTable
 from quire.streaming.ingest import PageIngest
 
 AT = dt.datetime(2024, 3, 1, 12)
@@ -192,3 +192,18 @@ def test_failed_fetches_are_left_out(spark, tmp_path):
     rows = [(1, "u", None), (2, "u", " \n"), (3, "u", "<p>x")]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "p"))
     assert [r.page_id for r in read_pages(spark, str(tmp_path / "p")).collect()] == [3]
+
+
+def test_change_log_folds_and_compacts(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"), "k string, v int", "k", every=2)
+    batches = [[("a", 1), ("b", 1)], [("b", 2), ("c", 2)], [("a", 3)], [], [("d", 5)]]
+    state, states = {}, []
+    for version, rows in enumerate(batches, 1):
+        for _ in range(2):  # a repeated batch changes nothing
+            log.write(spark.createDataFrame(rows, "k string, v int"), version)
+            log.compact(version)
+        state = {**state, **dict(rows)}
+        states.append(state)
+        assert dict(map(tuple, log.read().collect())) == state
+    assert log.whole.versions() == [2, 4]
+    assert [dict(map(tuple, log.read(v).collect())) for v in range(1, 6)] == [{}, *states[:4]]
