@@ -53,11 +53,14 @@ def _items(items: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _filter(items: DataFrame) -> np.ndarray:
-    """Bits of all item shingles in ``FILTER_WORDS`` words, merged in Spark."""
+    """Bits of all item shingles in ``FILTER_WORDS`` words, merged in Spark: each as it is and together with its item's
+    length, which tells shingles of items as long as a window from those of others."""
     h = F.col("h")
     place = F.shiftright(h, 24).bitwiseAND(F.lit(63)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
-    bits = items.select(F.explode("hashes").alias("h")).select(h.bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("at"), bit.alias("bit"))
+    keyed = items.select(F.explode("hashes").alias("h"), (F.col("words").cast("long") * 2 + 1).alias("length"))
+    keyed = keyed.select(F.explode(F.array("h", F.col("h").bitwiseXOR(F.col("length")))).alias("h"))
+    bits = keyed.select(h.bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("at"), bit.alias("bit"))
     table = np.zeros(FILTER_WORDS, dtype=np.uint64)
     for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
         table[r["at"]] = np.uint64(r["bits"] & (2**64 - 1))
@@ -67,8 +70,8 @@ def _filter(items: DataFrame) -> np.ndarray:
 def _windows(docs: DataFrame, shared) -> DataFrame:
     """(doc, version, start, words, print, hashes) of windows as long as some item that could be similar enough to one.
 
-    Similarity needs a share of the window's shingles to be an item's. Windows in which fewer pass the filter of all
-    item shingles are left out, which loses none.
+    Similarity needs a share of the window's shingles to be shingles of one item of that length. Windows in which fewer
+    pass the filter are left out, which loses none: first by shingles of any item, then by those of items of the length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +97,10 @@ def _windows(docs: DataFrame, shared) -> DataFrame:
                         continue
                     wide = min(max(m - size + 1, 1), len(own))  # a shorter text is one window
                     need = math.ceil(LEAST * (wide + max(m - size + 1, 1)) / 2 - 1e-9)
-                    for a in np.flatnonzero(sums[wide:] - sums[:-wide] >= need).tolist():
+                    if (sums[wide:] - sums[:-wide]).max() < need:
+                        continue
+                    fine = np.concatenate([[0], np.cumsum(passes(own ^ np.uint64(2 * m + 1)))])
+                    for a in np.flatnonzero(fine[wide:] - fine[:-wide] >= need).tolist():
                         part = own[a : a + wide]
                         rows.append(i)
                         starts.append(a)
