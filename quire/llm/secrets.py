@@ -25,6 +25,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # class 0 is every other byte
 CLASS = np.zeros(256, dtype=np.int64)
 CLASS[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, SIZE)
+PRIOR = 50.0  # transitions that the prior of each character weighs
 LEAST = 12.0  # log-likelihood ratio of a random string, in nats
 
 
@@ -70,9 +71,11 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     sums = np.zeros((2, SIZE * SIZE))
     for r in rows:
         sums[:, r["pair"]] = r["random"], max(r["all"] - r["random"], 0)
-    inside = sums.reshape(2, SIZE, SIZE)[:, 1:, 1:] + 0.5
+    inside = sums.reshape(2, SIZE, SIZE)[:, 1:, 1:]
+    alone = inside.sum(axis=1, keepdims=True) + 0.5
+    prior = PRIOR * alone / alone.sum(axis=2, keepdims=True)  # a transition rarely seen is as likely as its second character
     rates = np.zeros((2, SIZE, SIZE))
-    rates[:, 1:, 1:] = np.log(inside / inside.sum(axis=2, keepdims=True))
+    rates[:, 1:, 1:] = np.log((inside + prior) / (inside.sum(axis=2, keepdims=True) + PRIOR))
     return (rates[0] - rates[1]).reshape(-1)
 
 

@@ -35,7 +35,7 @@ def corpus(spark):
     rng = random.Random(6)
     common = [f"word{i}" for i in range(300)]
     rows, labels = [], []
-    for i in range(700):
+    for i in range(1000, 1700):
         words = rng.choices(common, k=rng.randint(20, 120))
         toxic = i % 5 == 0
         for _ in range(4 if toxic else 0):
