@@ -85,16 +85,17 @@ def scan(
     units = lines.where(F.arrays_overlap(terms(F.col("t")), wanted)).union(likely.select("p", "ver", F.lit(WHOLE), "t"))
     tf = units.select("p", "ver", "unit", F.explode(terms(F.col("t"))).alias("term")).groupBy("p", "ver", "unit", "term").count()
 
-    # both tables have a row for each term of the templates
-    weights = F.broadcast(spark.createDataFrame([(t, w) for t, w in idf.items()], "term string, idf double"))
-    rows = [(t, n, w / math.sqrt(sum(x * x for x in v.values()))) for n, v in vectors.items() for t, w in v.items()]
-    shares = F.broadcast(spark.createDataFrame(rows, "term string, name string, share double"))
+    names = sorted(vectors)
+    norms = {n: math.sqrt(sum(x * x for x in v.values())) for n, v in vectors.items()}
+    rows = [(t, w, [vectors[n].get(t, 0.0) / norms[n] for n in names]) for t, w in idf.items()]
+    # one row for each term of the templates
+    weights = F.broadcast(spark.createDataFrame(rows, "term string, idf double, shares array<double>"))
     unit = ["p", "ver", "unit"]
     tf = tf.join(weights, "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(unknown)))
-    norms = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(shares, "term").groupBy(*unit, "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    near = dots.join(norms, unit).withColumn("cos", F.round(F.col("dot") / F.col("norm"), 6))
-    near = settle(near.select(*unit, "name", "cos"), "near")
+    dots = [F.sum(F.col("w") * F.get("shares", F.lit(i))).alias(f"dot{i}") for i in range(len(names))]
+    sums = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    each = [F.struct(F.lit(n).alias("name"), F.round(F.col(f"dot{i}") / F.col("norm"), 6).alias("cos")) for i, n in enumerate(names)]
+    near = settle(sums.select(*unit, F.inline(F.array(*each))).where("cos IS NOT NULL"), "near")
 
     best = F.min(F.struct((-F.col("cos")).alias("c"), "name")).alias("b")
     headers = near.where((F.col("unit") != WHOLE) & (F.col("cos") >= header_least)).groupBy("p", "ver").agg(best)
@@ -112,7 +113,9 @@ def scan(
     inherited = paths.select("p", F.inline(above)).join(granting, "dir")
     inherited = inherited.groupBy(F.col("p").alias("__q")).agg(F.max_by("g", "depth").alias("__dir"))
 
-    joined = files.join(headers, (F.col(path) == F.col("__p")) & (version == F.col("__ver")), "left")
+    # the hash is a column before the join, so that a text nobody asks for does not travel with it
+    joined = files.withColumn("__version", version)
+    joined = joined.join(headers, (F.col(path) == F.col("__p")) & (F.col("__version") == F.col("__ver")), "left")
     joined = joined.join(inherited, F.col(path) == F.col("__q"), "left")
     has, gets = F.col("__own").isNotNull(), F.col("__dir").isNotNull()
     return joined.select(
