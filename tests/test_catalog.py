@@ -20,7 +20,7 @@ def test_every_sql_belongs_to_a_query_and_is_valid():
     con = check.database(SF_DIR)
     for name, sql in contract.oracle_sql().items():
         con.execute(f"EXPLAIN {sql}")
-        assert re.match(r"^(SRC|SNK|[TLDBPCIMNE])\d+_", name)
+        assert re.match(r"^(SRC|SNK|op|[TLDBPCIMNE])\d+_|^pipeline$", name)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
