@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +23,30 @@ LOAD = 512  # rows a bucket should have on average
 RADIUS = 4
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, size: int = 4, lanes: int = 1) -> DataFrame:
-    """(key, p0, p1, ...): a SimHash of 64 bits a lane over word shingles of whole texts; null and empty texts give zero."""
+def fingerprints(docs: DataFrame, key: str, text: str, size: int = 4, lanes: int = 1, digest: bool = False) -> DataFrame:
+    """(key, p0, p1, ...): a SimHash of 64 bits a lane over word shingles of whole texts; null and empty texts give zero.
+
+    ``digest`` adds a column of that name, 128 bits that tell sets of shingles apart.
+    """
     names = [f"p{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            prints = np.zeros((batch.num_rows, lanes), dtype=np.uint64)
+            prints, sets = np.zeros((batch.num_rows, lanes), dtype=np.uint64), []
             for i, x in enumerate(batch.column("text")):
-                prints[i] = simhash(shingle_hashes(x.as_py(), size), lanes)
+                hashes = shingle_hashes(x.as_py(), size)
+                prints[i] = simhash(hashes, lanes)
+                if digest:
+                    sets.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
             longs = prints.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *[pa.array(longs[:, i]) for i in range(lanes)]], ["key", *names]
-            )
+            columns = [batch.column("key"), *[pa.array(longs[:, i]) for i in range(lanes)]]
+            columns += [pa.array(sets, pa.binary())] if digest else []
+            yield pa.RecordBatch.from_arrays(columns, ["key", *names, *["digest"] * digest])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("key", key)
+    out = ", ".join([f"key {kind}", *[f"{n} long" for n in names], *["digest binary"] * digest])
+    return rows.mapInArrow(run, out).withColumnRenamed("key", key)
 
 
 def multi_index(radius: int, rows: int) -> list[tuple[int, ...]]:
@@ -201,24 +209,24 @@ def similar_classes(
 
     Fingerprints of 64 bits a lane are compared within buckets of randomly chosen bits, as many buckets as find a pair at
     just that similarity with probability ``recall``; more similar pairs are found more surely. Candidates lie within
-    three deviations of the distance that the similarity makes, and each link is verified on the whole texts. Equal
-    fingerprints are one document. Null keys take no part; a key with several texts is one document. An empty table
-    gives none.
+    three deviations of the distance that the similarity makes, and each link is verified on the whole texts. Equal sets
+    of shingles are one document; equal fingerprints of different sets are candidates like any other. Null keys take no
+    part; a key with several texts is one document. An empty table gives none.
     """
     bits = 64 * lanes
     share = math.acos(2 * least / (1 + least)) / math.pi  # of bits that differ, for sets of about one size
     radius = round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     names = [f"p{i}" for i in range(lanes)]
-    prints = settle(fingerprints(rows, "key", "text", size, lanes), "prints")
-    nodes = settle(prints.groupBy(*names).agg(F.min("key").alias("node")), "nodes")
+    prints = settle(fingerprints(rows, "key", "text", size, lanes, digest=True), "prints")
+    nodes = settle(prints.groupBy("digest", *names).agg(F.min("key").alias("node")), "nodes")
     index = sampled_index(share, recall, nodes.count(), lanes)
     pairs = settle(close_links(nodes, radius, index, nearest=True), "pairs")
     texts = rows.select("key", F.col("text").cast("binary").alias("text"))
     pairs = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
     pairs = pairs.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
     links = settle(_jaccard(pairs, size).where(F.col("similarity") >= least).select("a", "b"), "links")
-    copies = prints.join(nodes, names).where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    copies = prints.join(nodes, "digest").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
     found = components(links.union(copies))
     return prints.select("key").distinct().join(found, F.col("key") == F.col("node"), "left").select(
         F.col("key").alias(key), F.coalesce("component", "key").alias("component_id")

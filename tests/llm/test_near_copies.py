@@ -94,3 +94,25 @@ def test_similar_classes_are_verified(documents, prose, odd):
     assert got[5] == got[8] == got[3] == 3 and got[4] == 4
     assert got[90] == got[91] == got[92] == 90 and all(got[20 + i] == 20 + i for i in range(10)) and None not in got
     assert near_copies.similar_classes(documents([])).count() == 0
+
+
+def shingle_set(text, size=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_classes(rows, least=0.8):
+    pairs = [(a, b) for k, (a, x) in enumerate(rows) for b, y in rows[:k] if similar(x, y) >= least]
+    return classes(pairs, {i for i, _ in rows})
+
+
+def test_texts_of_one_dominant_shingle_are_not_copies(documents, prose):
+    rows = [(i, "filler " * 210 + prose(100)) for i in range(6)] + [(9, "filler " * 210)]
+    rows += [(20 + i, "filler " * n) for i, n in enumerate((210, 300, 5))]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) == 7
