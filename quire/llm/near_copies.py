@@ -23,29 +23,30 @@ LOAD = 512  # rows a bucket should have on average
 RADIUS = 4
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, size: int = 4, lanes: int = 1, digest: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str, text: str, size: int = 4, lanes: int = 1, sets: bool = False) -> DataFrame:
     """(key, p0, p1, ...): a SimHash of 64 bits a lane over word shingles of whole texts; null and empty texts give zero.
 
-    ``digest`` adds a column of that name, 128 bits that tell sets of shingles apart.
+    With ``sets`` a shingle counts once a text, and a column digest has 128 bits that tell sets of shingles apart.
     """
     names = [f"p{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            prints, sets = np.zeros((batch.num_rows, lanes), dtype=np.uint64), []
+            prints, digests = np.zeros((batch.num_rows, lanes), dtype=np.uint64), []
             for i, x in enumerate(batch.column("text")):
                 hashes = shingle_hashes(x.as_py(), size)
+                if sets:
+                    hashes = np.unique(hashes)
+                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 prints[i] = simhash(hashes, lanes)
-                if digest:
-                    sets.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
             longs = prints.view(np.int64)
             columns = [batch.column("key"), *[pa.array(longs[:, i]) for i in range(lanes)]]
-            columns += [pa.array(sets, pa.binary())] if digest else []
-            yield pa.RecordBatch.from_arrays(columns, ["key", *names, *["digest"] * digest])
+            columns += [pa.array(digests, pa.binary())] if sets else []
+            yield pa.RecordBatch.from_arrays(columns, ["key", *names, *["digest"] * sets])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    out = ", ".join([f"key {kind}", *[f"{n} long" for n in names], *["digest binary"] * digest])
+    out = ", ".join([f"key {kind}", *[f"{n} long" for n in names], *["digest binary"] * sets])
     return rows.mapInArrow(run, out).withColumnRenamed("key", key)
 
 
@@ -207,10 +208,10 @@ def similar_classes(
 ) -> DataFrame:
     """(key, component_id) of documents: components of links whose shingle sets have a Jaccard similarity of ``least``.
 
-    Fingerprints of 64 bits a lane are compared within buckets of randomly chosen bits, as many buckets as find a pair at
-    just that similarity with probability ``recall``; more similar pairs are found more surely. Candidates lie within
-    three deviations of the distance that the similarity makes, and each link is verified on the whole texts. Equal sets
-    of shingles are one document; equal fingerprints of different sets are candidates like any other. Null keys take no
+    Fingerprints of those sets, 64 bits a lane, are compared within buckets of randomly chosen bits, as many buckets as
+    find a pair at just that similarity with probability ``recall``; more similar pairs are found more surely. Candidates
+    lie within three deviations of the distance that the similarity makes, and each link is verified on the whole texts.
+    Equal sets are one document; equal fingerprints of different sets are candidates like any other. Null keys take no
     part; a key with several texts is one document. An empty table gives none.
     """
     bits = 64 * lanes
@@ -218,7 +219,7 @@ def similar_classes(
     radius = round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     names = [f"p{i}" for i in range(lanes)]
-    prints = settle(fingerprints(rows, "key", "text", size, lanes, digest=True), "prints")
+    prints = settle(fingerprints(rows, "key", "text", size, lanes, sets=True), "prints")
     nodes = settle(prints.groupBy("digest", *names).agg(F.min("key").alias("node")), "nodes")
     index = sampled_index(share, recall, nodes.count(), lanes)
     pairs = settle(close_links(nodes, radius, index, nearest=True), "pairs")

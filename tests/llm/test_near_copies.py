@@ -116,3 +116,13 @@ def test_texts_of_one_dominant_shingle_are_not_copies(documents, prose):
     rows += [(20 + i, "filler " * n) for i, n in enumerate((210, 300, 5))]
     got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
     assert got == brute_classes(rows) and len(set(got.values())) == 7
+
+
+def test_refrains_repeated_more_often_stay_candidates(documents, prose, monkeypatch):
+    monkeypatch.setattr(near_copies, "sampled_index", lambda share, recall, rows, lanes: [(0,) * lanes])  # all meet
+    rows = []
+    for i in range(12):
+        words, refrain = prose(100), prose(30)
+        rows += [(20 * i + n, f"{words} " + f"{refrain} " * n) for n in (1, 10)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
+    assert got == brute_classes(rows)
