@@ -126,3 +126,23 @@ def test_refrains_repeated_more_often_stay_candidates(documents, prose, monkeypa
         rows += [(20 * i + n, f"{words} " + f"{refrain} " * n) for n in (1, 10)]
     got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
     assert got == brute_classes(rows)
+
+
+def test_refuted_candidates_hide_no_link(documents, monkeypatch):
+    monkeypatch.setattr(near_copies, "sampled_index", lambda share, recall, rows, lanes: [(0,) * lanes])  # all meet
+    rng, rows = np.random.default_rng(5), []
+    for family in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        members = [words]
+        for _ in range(11):
+            own = list(members[rng.integers(len(members))])
+            for at in rng.choice(150, rng.integers(2, 6), replace=False):
+                own[at] = f"w{rng.integers(0, 10**6)}"
+            members.append(own)
+        order = rng.permutation(12)
+        rows += [(100 * family + int(i), " ".join(m)) for i, m in zip(order, members)]
+    want = brute_classes(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
+    assert got == want and 30 < len(set(want.values())) < 250
+    monkeypatch.setattr(near_copies, "PARTNERS", (None,))
+    assert got == {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
