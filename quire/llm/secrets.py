@@ -27,6 +27,8 @@ CLASS = np.zeros(256, dtype=np.int64)
 CLASS[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, SIZE)
 PRIOR = 50.0  # transitions that the prior of each character weighs
 LEAST = 12.0  # log-likelihood ratio of a random string, in nats
+JOINTS = "/_-=+"  # characters that join strings in a run
+SHORTEST = 16  # characters of a run, or of the part of one that no fixed pattern touches
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,12 +81,65 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (rates[0] - rates[1]).reshape(-1)
 
 
+def segments(scores: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
+    """(start, end) of all maximal scoring segments (Ruzzo and Tompa) of ``scores`` that reach ``least``, by start."""
+    found: list[list] = []  # start, end, sum before the start, sum at the end
+    total = 0.0
+    for at, score in enumerate(scores.tolist()):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        own = [at, at + 1, before, total]
+        while True:
+            k = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < own[2]), None)
+            if k is None or found[k][3] >= own[3]:
+                break
+            own[0], own[2] = found[k][0], found[k][2]
+            del found[k:]
+        found.append(own)
+    return [(a, b) for a, b, low, high in found if high - low >= least]
+
+
+def random_parts(text: str, base: list[tuple[int, int, int]], table: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
+    """(start, end) of the random strings of a text, by start.
+
+    Of each run of ``SHORTEST`` or more identifier characters, less what the fixed patterns cover, it is the whole part
+    if its summed ratio reaches ``least``, else each maximal segment that does, widened to the next ``JOINTS``.
+    """
+    found = []
+    for m in RUN.finditer(text):
+        at, parts = m.start(), []
+        for a, _, b in base:  # by start
+            if a < m.end() and b > at:
+                parts.append((at, a))
+                at = b
+        parts.append((at, m.end()))
+        for a, b in parts:
+            if b - a < SHORTEST:
+                continue
+            scores = table[_pairs(text[a:b].encode())]
+            if scores.sum() >= least:
+                found.append((a, b))
+            elif scores[scores > 0].sum() >= least:
+                for x, y in segments(scores, least):
+                    x, y = a + x, a + y + 1  # a transition ends one further
+                    while x > a and text[x - 1] not in JOINTS:
+                        x -= 1
+                    while y < b and text[y] not in JOINTS:
+                        y += 1
+                    if found and x < found[-1][1]:
+                        x, y = found[-1][0], max(y, found[-1][1])
+                        found.pop()
+                    found.append((x, y))
+    return found
+
+
 def secrets(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """(key, spans, added): spans are (kind, start, end) by start and then kind, in characters; added, how many of them
     the models found.
 
-    The models judge runs of 16 or more identifier characters that no fixed pattern touches. Null and empty texts have
-    none. Repeated rows and null keys stay. An empty table gives none. Other columns are not looked at.
+    The models judge runs of 16 or more identifier characters, their maximal scoring segments, and what fixed patterns
+    leave of a run if that is as long. Null and empty texts have none. Repeated rows and null keys stay. An empty table gives none. Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     fields = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -96,10 +151,7 @@ def secrets(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str =
             for x in batch.column("text"):
                 own = x.as_py() or ""
                 base = base_spans(own)
-                more = [
-                    (m.start(), 3, m.end()) for m in RUN.finditer(own)
-                    if table[_pairs(m[0].encode())].sum() >= least and not any(a < m.end() and m.start() < b for a, _, b in base)
-                ]
+                more = [(a, 3, b) for a, b in random_parts(own, base, table, least)]
                 spans.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + more)])
                 added.append(len(more))
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from quire.llm import secrets as sec
 
 
@@ -62,3 +64,37 @@ def test_query_digest(spark, documents, tmp_path):
     for r in sec.op9_secrets(spark, str(tmp_path)).collect():
         told = ",".join(f"{sec.KINDS[k]}:{a}:{b}" for a, k, b in brute_base(TRICKY[0] if r["doc_id"] == 1 else ""))
         assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest() and r["spans"] == told
+
+
+def test_random_strings_joined_to_ordinary_text_are_found(spark, documents, prose):
+    rng = random.Random(6)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choices(mixed, k=n))
+    train = [(i, prose(60) + f" password={key(24)} " + prose(10)) for i in range(300)]
+    name = lambda: "_".join(prose(12).split())
+    hidden = {1000 + i: (f"{name()}/", key(40), f"/{name()}") for i in range(30)}
+    hidden |= {1100 + i: ("AKIA" + "A1B2C3D4E5F6G7H8" + "/", key(40), "") for i in range(30)}
+    plain = {1200 + i: f"{name()}/{name()}" for i in range(30)}
+    rows = [(i, " ".join(["", "".join(x), ""])) for i, x in hidden.items()] + list(plain.items())
+    found = {r["doc_id"]: r for r in sec.secrets(documents(rows), sec.train(documents(train))).collect()}
+    caught = 0
+    for i, (before, secret, _) in hidden.items():
+        want = range(1 + len(before), 1 + len(before) + len(secret))
+        spans = [range(s["start"], s["end"]) for s in found[i]["spans"] if s["kind"] == "random"]
+        caught += sum(any(at in s for s in spans) for at in want) >= 0.75 * len(want)
+    assert caught >= 0.85 * len(hidden) and sum(found[i]["added"] for i in plain) <= 1
+
+
+def test_segments_against_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        x = rng.integers(-5, 6, rng.integers(0, 14)).astype(float)
+
+        def best(a, b):  # the segment of the largest sum, then those on both sides of it
+            pairs = [(x[i:j].sum(), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+            if not pairs or max(pairs)[0] <= 0:
+                return []
+            top, _, i, j = max(pairs)
+            return best(a, i) + [top] + best(j, b)
+
+        assert [x[a:b].sum() for a, b in sec.segments(x, 4.0)] == [s for s in best(0, len(x)) if s >= 4]
