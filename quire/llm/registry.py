@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 MODULES = (
     "near_copies", "packing", "line_runs", "toxicity", "chat", "licenses", "token_prefixes", "neighbours", "secrets", "contamination",
-    "word_runs", "manifest",
+    "word_runs", "manifest", "fingerprints",
 )
 
 
