@@ -22,13 +22,19 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; rows of one doc_id are one document.
+    """One document of each group of near copies, that of the smallest doc_id, by the operator of op1 as it stands there.
 
+    Of several rows of one doc_id the smallest by text, source and language stays; texts are shuffled for those only.
     Rows without a doc_id take no part and stay.
     """
-    classes = near_copies.similar_classes(docs).where("doc_id = component_id").select("doc_id")
-    stay = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    first = near_copies.near_copies(docs).where("doc_id = component_id").groupBy("doc_id").count()
+    first = scratch.settle(first, "first")
+    rest = [c for c in ("text", "source", "lang", "n_chars") if c in docs.columns]
+    rest += [c for c in docs.columns if c not in (*rest, "doc_id")]
+    alone = docs.join(first.where("count = 1"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = docs.join(first.where("count > 1"), "doc_id", "left_semi")
+    repeated = repeated.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row")).select("doc_id", "__row.*")
+    return alone.unionByName(repeated).union(docs.where(F.col("doc_id").isNull()))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
