@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,33 +19,24 @@ from quire.llm.scratch import settle
 CELL = 4096  # rows of a bucket compared in one place; larger buckets are dealt out to pairs of parts
 LOAD = 512  # rows a bucket should have on average
 RADIUS = 4
-PARTNERS = (1, 8, 64, None)  # closest partners of a node that the rounds of verification look at; the last looks at all
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, size: int = 4, lanes: int = 1, sets: bool = False) -> DataFrame:
-    """(key, p0, p1, ...): a SimHash of 64 bits a lane over word shingles of whole texts; null and empty texts give zero.
-
-    With ``sets`` a shingle counts once a text, and a column digest has 128 bits that tell sets of shingles apart.
-    """
+def fingerprints(docs: DataFrame, key: str, text: str, size: int = 4, lanes: int = 1) -> DataFrame:
+    """(key, p0, p1, ...): a SimHash of 64 bits a lane over word shingles of whole texts; null and empty texts give zero."""
     names = [f"p{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            prints, digests = np.zeros((batch.num_rows, lanes), dtype=np.uint64), []
+            prints = np.zeros((batch.num_rows, lanes), dtype=np.uint64)
             for i, x in enumerate(batch.column("text")):
-                hashes = shingle_hashes(x.as_py(), size)
-                if sets:
-                    hashes = np.unique(hashes)
-                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                prints[i] = simhash(hashes, lanes)
+                prints[i] = simhash(shingle_hashes(x.as_py(), size), lanes)
             longs = prints.view(np.int64)
             columns = [batch.column("key"), *[pa.array(longs[:, i]) for i in range(lanes)]]
-            columns += [pa.array(digests, pa.binary())] if sets else []
-            yield pa.RecordBatch.from_arrays(columns, ["key", *names, *["digest"] * sets])
+            yield pa.RecordBatch.from_arrays(columns, ["key", *names])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    out = ", ".join([f"key {kind}", *[f"{n} long" for n in names], *["digest binary"] * sets])
+    out = ", ".join([f"key {kind}", *[f"{n} long" for n in names]])
     return rows.mapInArrow(run, out).withColumnRenamed("key", key)
 
 
@@ -63,42 +52,25 @@ def multi_index(radius: int, rows: int) -> list[tuple[int, ...]]:
     return [(sum(some),) for some in combinations(blocks, b - radius)]
 
 
-def sampled_index(share: float, recall: float, rows: int, lanes: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """Masks of randomly chosen bits: fingerprints that differ in ``share`` of their bits agree under at least one of
-    them with probability ``recall``. Bits a mask follow the number of fingerprints, masks follow from the recall."""
-    width = max(8, math.ceil(math.log2(max(1, rows) / 64 + 1)))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
-    rng, masks = np.random.default_rng(seed), []
-    for _ in range(tables):
-        bits = rng.choice(64 * lanes, width, replace=False)
-        masks.append(tuple(sum(1 << int(x % 64) for x in bits if x // 64 == lane) for lane in range(lanes)))
-    return masks
-
-
 def _signed(mask: int) -> int:
     return mask - 2**64 if mask >= 2**63 else mask
 
 
-def close_links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]], nearest: int | None = 0) -> DataFrame:
+def close_links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataFrame:
     """(a, b) of nodes whose fingerprints differ in at most ``radius`` bits, enough to connect all such nodes of a bucket.
 
     ``prints`` has node (long) and p0, p1, ... Buckets are equal bits under a mask. A bucket over ``CELL`` rows is dealt
     out to one place for every pair of its parts, so each pair of rows meets somewhere and no place holds more than about
     two parts. A place finds all its close pairs and returns a spanning forest of them, not the pairs.
-
-    A column class (long) says which nodes are connected already: pairs within a class are passed over. Then ``nearest``
-    adds each row's so many closest partners of other classes, and a pair of a node with itself if it has more; None gives
-    all pairs between classes.
     """
     lanes = sum(c.startswith("p") and c[1:].isdigit() for c in prints.columns)
     names = [f"p{i}" for i in range(lanes)]
-    held_columns = [*names, *["class"] * ("class" in prints.columns)]
 
     def bucket(t: int, mask: tuple[int, ...]):
         own = [F.col(n).bitwiseAND(F.lit(_signed(m))) for n, m in zip(names, mask)]
         return F.struct(F.lit(t).alias("t"), (own[0] if lanes == 1 else F.xxhash64(*own)).alias("bucket"))
 
-    entries = prints.select("node", *held_columns, F.inline(F.array(*[bucket(t, m) for t, m in enumerate(masks)])))
+    entries = prints.select("node", *names, F.inline(F.array(*[bucket(t, m) for t, m in enumerate(masks)])))
     hot = entries.groupBy("t", "bucket").count().where(F.col("count") > CELL)
     entries = entries.join(hot, ["t", "bucket"], "left")
     parts = F.ceil(F.coalesce("count", F.lit(1)) / CELL).cast("long")
@@ -108,52 +80,29 @@ def close_links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]], ne
         lambda other: F.least(F.col("own"), other) * F.col("parts") + F.greatest(F.col("own"), other),
     )
     entries = entries.withColumn("parts", parts).withColumn("own", own)
-    entries = entries.select("t", "bucket", F.explode(places).alias("place"), "node", *held_columns)
+    entries = entries.select("t", "bucket", F.explode(places).alias("place"), "node", *names)
     entries = entries.repartition("t", "bucket", "place").sortWithinPartitions("t", "bucket", "place")
 
-    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        cols = {c: rows.column(c).to_numpy() for c in ("t", "bucket", "place", "node", *held_columns)}
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        cols = {c: rows.column(c).to_numpy() for c in ("t", "bucket", "place", "node", *names)}
         n, nodes = rows.num_rows, cols["node"]
         new = np.zeros(n, dtype=bool)
         for c in ("t", "bucket", "place"):
             new[1:] |= cols[c][1:] != cols[c][:-1]
         starts = np.flatnonzero(new)
-        of_bucket = np.searchsorted(starts, np.arange(n), side="right")
-        ends = np.append(starts, n)[of_bucket]
-        labels = np.arange(n)
-        if "class" in cols:
-            _, first, own = np.unique(cols["class"], return_index=True, return_inverse=True)
-            labels = first[own]
-            edges = np.append(0, starts)
-            alone = np.minimum.reduceat(own, edges) == np.maximum.reduceat(own, edges)
-            ends = np.where(alone[of_bucket], np.arange(n) + 1, ends)  # nothing left to compare in buckets of one class
-        classes, prints = labels, np.stack([cols[c] for c in names], axis=1).view(np.uint64)
-        a, b, partners = [], [], Partners(n, nearest or 0)
+        ends = np.append(starts, n)[np.searchsorted(starts, np.arange(n), side="right")]
+        labels, prints, a, b = np.arange(n), np.stack([cols[c] for c in names], axis=1).view(np.uint64), [], []
         for i, j in close_pairs(prints, ends, radius):
-            other = classes[i] != classes[j]
-            i, j = i[other], j[other]
-            if nearest is None:
-                yield links(nodes[i], nodes[j])
-                continue
-            if nearest:
-                partners.add(i, j, np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64))
             for x, y in zip(*(v[labels[i] != labels[j]].tolist() for v in (i, j))):
                 low, high = sorted((_root(labels, x), _root(labels, y)))
                 if low != high:
-                    labels = labels.copy() if labels is classes else labels
                     labels[high] = low
                     a.append(x)
                     b.append(y)
             while not np.array_equal(flat := labels[labels], labels):
                 labels = flat
-        yield links(*(nodes[np.array(x, dtype=np.int64)] for x in (a, b)))
-        if nearest:
-            yield links(*(nodes[x] for x in partners.closest()))
-            more = nodes[np.flatnonzero(partners.counts > nearest)]
-            yield links(more, more)
+        x, y = (nodes[np.array(v, dtype=np.int64)] for v in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -170,44 +119,14 @@ def close_links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]], ne
                 same &= rows.column(c).to_numpy() == x
             cut = rows.num_rows - int(same.sum())  # the last bucket may go on in the next batch
             if cut:
-                yield from compare(rows.slice(0, cut))
+                yield compare(rows.slice(0, cut))
                 held = rows.slice(cut).combine_chunks().to_batches()
         if held:
-            yield from compare(pa.Table.from_batches(held))
+            yield compare(pa.Table.from_batches(held))
 
     return entries.mapInArrow(run, "a long, b long").distinct()
 
 
-class Partners:
-    """The ``most`` closest partners of each row among pairs that come in any order, and how many partners it has."""
-
-    HELD = 1 << 21
-
-    def __init__(self, rows: int, most: int):
-        self.most, self.counts, self.held, self.parts = most, np.zeros(rows, dtype=np.int64), 0, []
-
-    def add(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
-        self.parts += [(i, j, apart), (j, i, apart)]
-        for x in (i, j):
-            self.counts += np.bincount(x, minlength=len(self.counts))
-        self.held += 2 * len(i)
-        if self.held > self.HELD + 2 * self.most * len(self.counts):
-            self._thin()
-
-    def _thin(self) -> None:
-        i, j, apart = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.lexsort((j, apart, i))
-        i, j, apart = i[order], j[order], apart[order]
-        kept = np.arange(len(i)) - np.searchsorted(i, i) < self.most
-        self.parts, self.held = [(i[kept], j[kept], apart[kept])], int(kept.sum())
-
-    def closest(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self._thin()
-        return self.parts[0][:2]
-
-
 def _root(labels: np.ndarray, x: int) -> int:
     while labels[x] != x:
         x = labels[x]
@@ -234,69 +153,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     )
 
 
-def _jaccard(pairs: DataFrame, size: int) -> DataFrame:
-    """(a, b, similarity) of (a, b, text_a, text_b): shared shingles over all shingles of the two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, "text_a"), "text_b"):
-            found, last, own = [], None, None
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
-                x, y = x.as_py(), np.unique(shingle_hashes(y.as_py(), size))
-                if own is None or x != last:
-                    last, own = x, np.unique(shingle_hashes(x, size))
-                both = len(np.intersect1d(own, y, assume_unique=True))
-                found.append(both / (len(own) + len(y) - both) if len(own) + len(y) else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
-
-
-def similar_classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, lanes: int = 4, recall: float = 0.97
-) -> DataFrame:
-    """(key, component_id) of documents: components of links whose shingle sets have a Jaccard similarity of ``least``.
-
-    Fingerprints of those sets, 64 bits a lane, are compared within buckets of randomly chosen bits, as many buckets as
-    find a pair at just that similarity with probability ``recall``; more similar pairs are found more surely. Candidates
-    lie within three deviations of the distance that the similarity makes, and each link is verified on the whole texts.
-    What a refuted candidate hid is looked for again: each round takes the nodes with candidates of other classes that
-    were not verified, and more partners of each, until none is left out, so the classes are those of all candidates.
-    Equal sets are one document; equal fingerprints of different sets are candidates like any other. Null keys take no
-    part; a key with several texts is one document. An empty table gives none.
-    """
-    bits = 64 * lanes
-    share = math.acos(2 * least / (1 + least)) / math.pi  # of bits that differ, for sets of about one size
-    radius = round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    names = [f"p{i}" for i in range(lanes)]
-    prints = settle(fingerprints(rows, "key", "text", size, lanes, sets=True), "prints")
-    nodes = settle(prints.groupBy("digest", *names).agg(F.min("key").alias("node")), "nodes")
-    index = sampled_index(share, recall, nodes.count(), lanes)
-    texts = rows.select("key", F.col("text").cast("binary").alias("text"))
-    todo, tested, links = nodes.withColumn("class", F.col("node")), None, None
-    for most in PARTNERS:
-        found = settle(close_links(todo, radius, index, most), "pairs")
-        pairs = found.where("a <> b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tested = found.where("a <> b") if tested is None else tested.union(found.where("a <> b"))
-        pairs = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
-        pairs = pairs.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
-        held = settle(_jaccard(pairs, size).where(F.col("similarity") >= least).select("a", "b"), "links")
-        links = held if links is None else links.union(held)
-        more = found.where("a = b").select(F.col("a").alias("node"))
-        if more.isEmpty():
-            break
-        joined = components(links)
-        todo = nodes.join(more, "node", "left_semi").join(joined, "node", "left")
-        todo = settle(todo.select("node", *names, F.coalesce("component", "node").alias("class")), "todo")
-    copies = prints.join(nodes, "digest").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    found = components(links.union(copies))
-    return prints.select("key").distinct().join(found, F.col("key") == F.col("node"), "left").select(
-        F.col("key").alias(key), F.coalesce("component", "key").alias("component_id")
-    )
-
-
 @query("op1_near_copies")
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(load(spark, sf_dir, "documents"))

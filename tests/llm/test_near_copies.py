@@ -80,69 +80,3 @@ def test_near_copies_against_brute_force(documents, odd, prose, monkeypatch):
     monkeypatch.setattr(near_copies, "CELL", 4)  # buckets dealt out to pairs of parts
     check(rows, near_copies.near_copies(documents(rows)))
     assert near_copies.near_copies(documents([])).count() == 0
-
-
-def test_similar_classes_are_verified(documents, prose, odd):
-    text = prose(400)
-    words = text.split()
-    near, far = list(words), list(words)
-    near[100] = near[200] = "changed"
-    for i in range(0, 400, 20):
-        far[i] = "changed"
-    rows = [(5, text), (3, " ".join(near)), (4, " ".join(far)), (8, text), *[(20 + i, prose(100)) for i in range(10)], *odd]
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
-    assert got[5] == got[8] == got[3] == 3 and got[4] == 4
-    assert got[90] == got[91] == got[92] == 90 and all(got[20 + i] == 20 + i for i in range(10)) and None not in got
-    assert near_copies.similar_classes(documents([])).count() == 0
-
-
-def shingle_set(text, size=5):
-    words = (text or "").lower().split()
-    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def similar(a, b):
-    a, b = shingle_set(a), shingle_set(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-def brute_classes(rows, least=0.8):
-    pairs = [(a, b) for k, (a, x) in enumerate(rows) for b, y in rows[:k] if similar(x, y) >= least]
-    return classes(pairs, {i for i, _ in rows})
-
-
-def test_texts_of_one_dominant_shingle_are_not_copies(documents, prose):
-    rows = [(i, "filler " * 210 + prose(100)) for i in range(6)] + [(9, "filler " * 210)]
-    rows += [(20 + i, "filler " * n) for i, n in enumerate((210, 300, 5))]
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
-    assert got == brute_classes(rows) and len(set(got.values())) == 7
-
-
-def test_refrains_repeated_more_often_stay_candidates(documents, prose, monkeypatch):
-    monkeypatch.setattr(near_copies, "sampled_index", lambda share, recall, rows, lanes: [(0,) * lanes])  # all meet
-    rows = []
-    for i in range(12):
-        words, refrain = prose(100), prose(30)
-        rows += [(20 * i + n, f"{words} " + f"{refrain} " * n) for n in (1, 10)]
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
-    assert got == brute_classes(rows)
-
-
-def test_refuted_candidates_hide_no_link(documents, monkeypatch):
-    monkeypatch.setattr(near_copies, "sampled_index", lambda share, recall, rows, lanes: [(0,) * lanes])  # all meet
-    rng, rows = np.random.default_rng(5), []
-    for family in range(25):
-        words = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
-        members = [words]
-        for _ in range(11):
-            own = list(members[rng.integers(len(members))])
-            for at in rng.choice(150, rng.integers(2, 6), replace=False):
-                own[at] = f"w{rng.integers(0, 10**6)}"
-            members.append(own)
-        order = rng.permutation(12)
-        rows += [(100 * family + int(i), " ".join(m)) for i, m in zip(order, members)]
-    want = brute_classes(rows)
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
-    assert got == want and 30 < len(set(want.values())) < 250
-    monkeypatch.setattr(near_copies, "PARTNERS", (None,))
-    assert got == {r["doc_id"]: r["component_id"] for r in near_copies.similar_classes(documents(rows)).collect()}
