@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,8 @@ import pyarrow.compute as pc
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space in which a cut before a plain space could fall inside one of the pattern's pieces.
 UNSAFE = re.compile(r"\s \s|\s $")
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
+MOST_BYTES = 8 << 20  # of ids kept
 
 
 class ByteBpe:
@@ -32,10 +33,16 @@ class ByteBpe:
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.load = lambda: Tokenizer.from_file(tokenizer_file)
+        added = [t.content for t in self.load().get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    @cached_property
+    def tokenizer(self):
+        """Only where a text has a special string; it takes far more memory than the ranks."""
+        return self.load()
 
     def whole(self, text: str) -> np.ndarray:
         if self.special.search(text):
@@ -70,10 +77,14 @@ class ByteBpe:
     def _word(self, word: str) -> np.ndarray:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= MOST_WORDS:
+            found = np.array(self.ranks.encode_ordinary(word), dtype=np.uint32).tobytes()
+            if len(self.words) >= MOST_WORDS or self.held + len(found) > MOST_BYTES:
                 self.words.clear()
-            found = self.words[word] = np.array(self.ranks.encode_ordinary(word), dtype=np.uint32)
-        return found
+                self.held = 0
+            if len(found) <= MOST_BYTES:
+                self.words[word] = found
+                self.held += len(found)
+        return np.frombuffer(found, dtype=np.uint32)
 
 
 @cache

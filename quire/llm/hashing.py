@@ -14,13 +14,17 @@ PIECE = 1 << 15  # shingles held as bits at a time
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about ``most`` bytes of text at most, so that long texts do not add up."""
+    """The same rows in record batches of about ``most`` bytes of text at most, so that long texts do not add up.
+
+    At the end of a task its worker gives unused memory back, as it stays for other tasks.
+    """
     for batch in batches:
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         part = np.cumsum(lengths) // most
         starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
         for a, b in zip(starts, [*starts[1:], len(part)]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.hashing import slices
 from quire.llm.registry import load, query
+from quire.llm.segments import maximal_segments
 
 KINDS = ("assign", "access", "hex", "random")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -82,22 +83,19 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def segments(scores: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
-    """(start, end) of all maximal scoring segments (Ruzzo and Tompa) of ``scores`` that reach ``least``, by start."""
-    found: list[list] = []  # start, end, sum before the start, sum at the end
-    total = 0.0
-    for at, score in enumerate(scores.tolist()):
-        before, total = total, total + score
-        if score <= 0:
-            continue
-        own = [at, at + 1, before, total]
-        while True:
-            k = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < own[2]), None)
-            if k is None or found[k][3] >= own[3]:
-                break
-            own[0], own[2] = found[k][0], found[k][2]
-            del found[k:]
-        found.append(own)
-    return [(a, b) for a, b, low, high in found if high - low >= least]
+    """(start, end) of all maximal scoring segments of ``scores`` that reach ``least``, by start."""
+    return [(a, b) for a, b, score in maximal_segments(scores.tolist()) if score >= least]
+
+
+def covered(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The places that the fixed patterns cover, as ranges apart from each other."""
+    ranges: list[tuple[int, int]] = []
+    for a, _, b in base:  # by start
+        if ranges and a <= ranges[-1][1]:
+            ranges[-1] = ranges[-1][0], max(b, ranges[-1][1])
+        else:
+            ranges.append((a, b))
+    return ranges
 
 
 def random_parts(text: str, base: list[tuple[int, int, int]], table: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
@@ -106,13 +104,16 @@ def random_parts(text: str, base: list[tuple[int, int, int]], table: np.ndarray,
     Of each run of ``SHORTEST`` or more identifier characters, less what the fixed patterns cover, it is the whole part
     if its summed ratio reaches ``least``, else each maximal segment that does, widened to the next ``JOINTS``.
     """
-    found = []
+    found, taken, k = [], covered(base), 0
     for m in RUN.finditer(text):
         at, parts = m.start(), []
-        for a, _, b in base:  # by start
-            if a < m.end() and b > at:
-                parts.append((at, a))
-                at = b
+        while k < len(taken) and taken[k][0] < m.end():
+            if taken[k][1] > at:
+                parts.append((at, taken[k][0]))
+                at = taken[k][1]
+            if taken[k][1] >= m.end():
+                break  # may reach into the next run
+            k += 1
         parts.append((at, m.end()))
         for a, b in parts:
             if b - a < SHORTEST:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quire.llm.hashing import slices
 from quire.llm.registry import load, query
 from quire.llm.scratch import settle
+from quire.llm.segments import maximal_segments
 
 BUCKETS = 1 << 18  # hashed tokens; bounds the model and what reaches the driver
 SAMPLE = 20_000  # labelled documents learned from, at most
@@ -37,22 +38,25 @@ def _features(word: str) -> tuple[int, ...]:
 
 
 class Words:
-    """Buckets of words, kept between batches."""
+    """Buckets of words, kept between batches: at most ``most`` words and 12 bytes and a place for each."""
 
-    def __init__(self, most: int = 300_000):
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.most = most
+    def __init__(self, most: int = 100_000):
+        self.places: dict[str, int] = {}
+        self.table = np.zeros((most, 1 + len(STEMS)), dtype=np.int32)
 
     def buckets(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, out = self.known, []
+        places, own, out = self.places, [], []
         for w in words:
-            found = known.get(w)
-            if found is None:
-                found = known[w] = _features(w)
-            out.append(found)
-        return np.array(out, dtype=np.int64).reshape(-1, 1 + len(STEMS))
+            at = places.get(w)
+            if at is None:
+                if len(places) == len(self.table):
+                    out.append(self.table[own])
+                    places.clear()
+                    own = []
+                at = places[w] = len(places)
+                self.table[at] = _features(w)
+            own.append(at)
+        return np.concatenate([*out, self.table[np.array(own, dtype=np.int64)]]).astype(np.int64)
 
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -94,28 +98,6 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, everywhere: np.ndarray, token
     return Model(np.maximum(odds - error, 0).astype(np.float32), odds + error < 0)
 
 
-def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, behind last, score), in one pass over the running total."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
-    total = 0.0
-    for i, s in enumerate(scores):
-        total += s
-        if s <= 0:
-            continue
-        start, low = i, total - s
-        kept = len(found)
-        while True:
-            j = kept - 1
-            while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= total:
-                break
-            start, low, kept = found[j][0], found[j][2], j
-        del found[kept:]
-        found.append((start, i + 1, low, total))
-    return [(a, b, after - before) for a, b, before, after in found]
-
-
 def _count(docs: DataFrame) -> DataFrame:
     """Documents with a token of each bucket: of all, and by class and fold of the learned ones; bucket -1 has the sums.
 
@@ -160,7 +142,7 @@ def _passages(texts: pa.Array, folds: np.ndarray, models: list[Model], words: Wo
             continue
         text = texts[i].as_py()
         spans = [m.span() for m in WORD.finditer(text)]
-        own = segments([tables[f][text[x:y]] for x, y in spans])
+        own = maximal_segments([tables[f][text[x:y]] for x, y in spans])
         found.append([(spans[x][0], spans[y - 1][1], s) for x, y, s in own])
     return sizes, found
 

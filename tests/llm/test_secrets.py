@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -98,3 +99,23 @@ def test_segments_against_brute_force():
             return best(a, i) + [top] + best(j, b)
 
         assert [x[a:b].sum() for a, b in sec.segments(x, 4.0)] == [s for s in best(0, len(x)) if s >= 4]
+
+
+def test_base_spans_are_walked_once_for_all_runs():
+    table, rng = np.full(sec.SIZE**2, -1.0), random.Random(4)
+
+    def seconds(n):
+        text = "\n".join("".join(rng.choices("0123456789abcdef", k=32)) + " plainidentifierofsomelength" for _ in range(n))
+        start = time.perf_counter()
+        assert sec.random_parts(text, sec.base_spans(text), table) == []
+        return time.perf_counter() - start
+
+    assert seconds(16_000) < 8 * max(seconds(4_000), 0.02)
+
+
+def test_parts_of_runs_outside_overlapping_base_spans():
+    table = np.full(sec.SIZE**2, 1.0)
+    text = "a" * 20 + "=" + "b" * 10 + "-" + "c" * 20 + " " + "d" * 30
+    base = [(5, 0, 9), (6, 1, 8), (9, 2, 12), (22, 0, 60)]
+    assert sec.random_parts(text, base, table) == [(60, len(text))]
+    assert sec.random_parts(text, base[:3], table) == [(12, 52), (53, len(text))]

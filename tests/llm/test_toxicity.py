@@ -1,10 +1,12 @@
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 from quire.llm import toxicity as tox
+from quire.llm.segments import maximal_segments
 
 BAD = ("vileword", "nastyterm", "badnoun")
 
@@ -25,11 +27,26 @@ def test_segments_are_the_maximal_ones():
     rng = random.Random(5)
     for _ in range(300):
         scores = [rng.choice([-3.0, -1.25, -0.5, 1.0, 2.5]) * rng.uniform(0.9, 1.1) for _ in range(rng.randint(0, 14))]
-        got = tox.segments(scores)
+        got = maximal_segments(scores)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_segments(scores)]
         assert np.allclose([s for *_, s in got], [sum(scores[a:b]) for a, b, _ in got])
 
 
+def test_segments_take_time_in_proportion():
+    def seconds(n):
+        start = time.perf_counter()
+        found = maximal_segments([1.0, -2.0] * n)
+        assert len(found) == n
+        return time.perf_counter() - start
+
+    assert seconds(160_000) < 8 * max(seconds(40_000), 0.02)
+
+
+def test_words_beyond_the_cache_keep_their_buckets():
+    words = [f"word{i % 50}" for i in range(300)]
+    assert np.array_equal(tox.Words(most=7).buckets(words), [tox._features(w) for w in words])
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = random.Random(6)
