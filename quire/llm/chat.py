@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from quire.llm.registry import load, query
 
@@ -47,8 +48,14 @@ LAYOUTS = (
 )
 
 
+JSON = {"maxStringLen": str(2**31 - 1)}  # the reader's own limit would lose texts of over 20,000,000 characters
+
+
 def field_paths(record: Column, layouts: tuple[Mapping, ...]) -> Column:
-    """The nested field paths of a JSON record that some layout knows, sorted; others do not tell layouts apart."""
+    """The nested field paths of a JSON record that some layout knows, sorted; others do not tell layouts apart.
+
+    Those inside an array are the fields of any of its items.
+    """
     known = sorted({p for m in layouts for p in m.paths()})
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
     nested = [_inner_paths(record, box) for box in sorted({m.messages[0] for m in layouts if m.messages})]
@@ -56,13 +63,20 @@ def field_paths(record: Column, layouts: tuple[Mapping, ...]) -> Column:
 
 
 def _inner_paths(record: Column, box: str) -> Column:
-    keys = F.json_object_keys(F.get_json_object(record, f"$.{box}[0]"))
-    return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{box}[]."), k))
+    items = F.from_json(record, f"struct<`{box}`:array<string>>", JSON)[box]
+    nothing = F.array().cast("array<string>")
+    keys = F.flatten(F.transform(F.coalesce(items, nothing), lambda x: F.coalesce(F.json_object_keys(x), nothing)))
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{box}[]."), k))
+
 
+def _fields(layouts: tuple[Mapping, ...]) -> str:
+    """The schema of all fields that some layout knows."""
+    found = {f"`{path}`:string" for m in layouts for path in m.paths() if "[]" not in path}
+    found |= {f"`{m.messages[0]}`:array<string>" for m in layouts if m.messages}
+    return f"struct<{','.join(sorted(found))}>"
 
-def _messages(json: Column, box: str, role: str, content: str, names: tuple[tuple[str, str], ...]) -> Column:
-    items = F.from_json(F.get_json_object(json, f"$.{box}"), f"array<struct<`{role}`:string,`{content}`:string>>")
 
+def _messages(items: Column, role: str, content: str, names: tuple[tuple[str, str], ...]) -> Column:
     def turn(x: Column) -> Column:
         named = F.coalesce(*[F.when(x[role] == a, F.lit(b)) for a, b in names], x[role], F.lit(""))
         return F.struct(named.alias("role"), F.coalesce(x[content], F.lit("")).alias("text"))
@@ -70,6 +84,18 @@ def _messages(json: Column, box: str, role: str, content: str, names: tuple[tupl
     return F.transform(items, turn)
 
 
+def _turns(mapping: Mapping, value) -> Column:
+    """The turns of a record of one layout; ``value`` gives the column at a path, its items read as what is asked for."""
+    if mapping.messages:
+        box, *names = mapping.messages
+        return _messages(value(box, f"struct<`{names[0]}`:string,`{names[1]}`:string>"), *names)
+    text = lambda path: F.coalesce(value(path).cast("string"), F.lit(""))
+    return F.array(*[
+        F.struct((text(mapping.role_path) if mapping.role_path else F.lit(role)).alias("role"), text(path).alias("text"))
+        for role, path in mapping.parts
+    ])
+
+
 def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "|"))
 
@@ -81,35 +107,69 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[M
     Records of no layout, and those that are null or not JSON objects, have known = false and no turns. A null text or
     role is an empty one. A layout of one turn a record also gives conv_key and turn_no, else null.
     """
-    json, mark = F.col(record), F.col("fingerprint")
-    text = lambda path: F.coalesce(F.get_json_object(json, f"$.{path}"), F.lit(""))
+    mark = F.col("fingerprint")
+
+    def value(path: str, item: str | None = None) -> Column:
+        found = F.col("__json")[path]
+        return F.transform(found, lambda x: F.from_json(x, item, JSON)) if item else found
+
     turns, keys, numbers, seen = None, None, None, []
     for m in layouts:
-        if m.messages:
-            own = _messages(json, *m.messages)
-        else:
-            own = F.array(*[
-                F.struct((text(m.role_path) if m.role_path else F.lit(role)).alias("role"), text(path).alias("text"))
-                for role, path in m.parts
-            ])
         is_it = mark == fingerprint(F.array(*map(F.lit, m.paths())))
         seen.append(is_it)
-        turns = F.when(is_it, own) if turns is None else turns.when(is_it, own)
+        turns = F.when(is_it, _turns(m, value)) if turns is None else turns.when(is_it, _turns(m, value))
         if m.id_path:
-            keys = F.when(is_it, F.get_json_object(json, f"$.{m.id_path}")) if keys is None else keys
-            numbers = F.when(is_it, F.get_json_object(json, f"$.{m.turn_path}").cast("long")) if numbers is None else numbers
+            keys = F.when(is_it, value(m.id_path)) if keys is None else keys
+            numbers = F.when(is_it, value(m.turn_path).try_cast("long")) if numbers is None else numbers
     none = F.lit(None)
     known = seen[0]
     for x in seen[1:]:
         known = known | x
-    marked = records.withColumn("fingerprint", fingerprint(field_paths(json, layouts)))
+    marked = records.withColumns(
+        {"fingerprint": fingerprint(field_paths(F.col(record), layouts)), "__json": F.from_json(record, _fields(layouts), JSON)}
+    )
     return marked.select(
-        "*", F.coalesce(known, F.lit(False)).alias("known"), (none.cast("string") if keys is None else keys).alias("conv_key"),
+        *[F.col(c) for c in marked.columns if c != "__json"], F.coalesce(known, F.lit(False)).alias("known"),
+        (none.cast("string") if keys is None else keys).alias("conv_key"),
         (none.cast("long") if numbers is None else numbers).alias("turn_no"),
         F.coalesce(turns, F.array().cast(TURNS)).cast(TURNS).alias("turns"),
     )
 
 
+def table_paths(schema: StructType) -> list[str]:
+    """The nested field paths of a table's rows: columns, and fields of columns that are arrays of structs."""
+    found = []
+    for f in schema.fields:
+        found.append(f.name)
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
+            found += [f"{f.name}[].{x.name}" for x in f.dataType.elementType.fields]
+    return found
+
+
+def table_turns(rows: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
+    """``canonical_turns`` of rows whose fields are columns already: fingerprint, known, conv_key, turn_no and turns.
+
+    All rows have one layout, so the paths are those of the schema; their fingerprint is compared with the layouts' in
+    each row as for records. No text goes through JSON, so its length has no limit but that of a value.
+    """
+    told = sorted(set(table_paths(rows.schema)) & {p for m in layouts for p in m.paths()})
+    mark = fingerprint(F.array(*map(F.lit, told)).cast("array<string>"))
+    found = [m for m in layouts if m.paths() == told]
+    marked, none = rows.withColumn("fingerprint", mark), F.lit(None)
+    if not found:
+        return marked.select(
+            "fingerprint", F.lit(False).alias("known"), none.cast("string").alias("conv_key"), none.cast("long").alias("turn_no"),
+            F.array().cast(TURNS).alias("turns"),
+        )
+    own = found[0]
+    known = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, own.paths())))
+    return marked.select(
+        "fingerprint", known.alias("known"), (F.col(own.id_path) if own.id_path else none).cast("string").alias("conv_key"),
+        (F.col(own.turn_path) if own.turn_path else none).cast("long").alias("turn_no"),
+        F.coalesce(_turns(own, lambda path, item=None: F.col(path)), F.array().cast(TURNS)).cast(TURNS).alias("turns"),
+    )
+
+
 def gathered(turns: DataFrame, key: str = "conv_key") -> DataFrame:
     """(key, turns) of records of one turn: the turns of a key by turn_no; equal numbers follow role and text.
 
@@ -201,8 +261,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(HARD[1]).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD[0]).alias("text"),
     )
-    record = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
-    turns = canonical_turns(given.union(hard).select(record.alias("record"))).where("known")
+    turns = table_turns(given.union(hard)).where("known")
     done = chat_format(gathered(turns))
     back, masked = parsed(F.col("formatted")), F.transform(
         "loss", lambda s: unescaped(F.substring("formatted", s["start"] + 1, s["end"] - s["start"]))

@@ -49,6 +49,8 @@ def test_layouts_become_turns(spark):
         ({"messages": [{"role": "user", "content": "hi", "n": 1}, {"content": "yo", "role": "assistant"}]}, [u, a]),
         ({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}, {"from": "tool", "value": None}]}, [u, a, ("tool", "")]),
         ({"conv_id": 3, "turn": 1, "role": "user", "text": "hi"}, [u]),
+        ({"messages": [{"role": "user"}, {"role": "assistant", "content": "yo"}, 5]}, [("user", ""), a, ("", "")]),
+        ({"prompt": 5, "completion": {"x": "yo"}}, [("user", "5"), ("assistant", '{"x":"yo"}')]),
         ({"unheard": "of"}, None),
         ({"prompt": "only"}, None),
     ]
@@ -70,3 +72,29 @@ def test_query_takes_odd_rows(spark, tmp_path):
     assert got[1]["loss_chars"] == 0 and got[-7]["loss_chars"] == len(chat.HARD[0])
     assert [r["conv_id"] for r in chat.op5_chat_format(spark, str(tmp_path / "none")).collect()] == [-7]
     assert "Python" not in chat.op5_chat_format(spark, str(tmp_path / "some"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_very_long_texts_are_whole(spark, tmp_path):
+    n = 25_000_000
+    long = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"),
+                                 F.repeat(F.lit("x y: "), n // 5).alias("text"))
+    long.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat.op5_chat_format(spark, str(tmp_path)).collect()}
+    assert got[1]["loss_chars"] == n and got[1]["formatted_chars"] > n and got[1]["n_turns"] == 1
+    record = F.to_json(F.struct(F.lit("hi").alias("prompt"), F.col("text").alias("completion")))
+    found = chat.canonical_turns(long.select(record.alias("record"))).select("known", F.length(F.col("turns")[1]["text"]).alias("n")).first()
+    assert found["known"] and found["n"] == n
+
+
+def test_tables_become_turns_by_their_schema(spark):
+    def turns(fields, rows):
+        found = chat.table_turns(spark.createDataFrame(rows, fields)).collect()
+        return [[(t["role"], t["text"]) for t in r["turns"]] if r["known"] else None for r in found]
+
+    assert turns("prompt string, completion string, known int", [("hi", None, 1)]) == [[("user", "hi"), ("assistant", "")]]
+    message = "conversations array<struct<from:string,value:string>>, turns string"
+    assert turns(message, [([("human", "hi"), ("gpt", "yo")], "x"), (None, "y")]) == [[("user", "hi"), ("assistant", "yo")], []]
+    assert turns("prompt string", [("hi",)]) == [None] and turns("x int", [(1,)]) == [None]
+    both = spark.createDataFrame([("a", "b")], "question string, answer string")
+    record = both.select(F.to_json(F.struct("*")).alias("record"))
+    assert chat.table_turns(both).first()["fingerprint"] == chat.canonical_turns(record).first()["fingerprint"]
