@@ -333,4 +333,4 @@ def stream_ingest(spark, sf_dir):
     root = f"{scratch_folder(spark)}/ingest-{uuid.uuid4().hex}"
     run = PageIngest(spark, f"{sf_dir}/pages*.parquet", root, SEEN_AT)
     run.run()
-    return run.registry.read().select("doc_id", "title", "read")
+    return run.registry().select("doc_id", "title", "read")

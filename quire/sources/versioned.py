@@ -6,10 +6,7 @@ loses executors half-way leaves the previous version current. Nothing is deleted
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 class VersionedTable:
@@ -61,45 +58,3 @@ class VersionedTable:
         n_rows = self.read().count()
         self.write(self.spark.createDataFrame([], self.schema))
         return n_rows
-
-
-class ChangeLog:
-    """A keyed table kept as changed rows, one version a batch, and now and then the whole.
-
-    A batch writes only the rows it changes. Readers take the last whole table and the changes after it, the latest row
-    of each key; ``compact`` writes that as the next whole, so about ``every`` change versions are read at most. Both parts
-    count a version once complete, so a repeated batch or compaction is harmless.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, every: int = 16):
-        self.spark, self.key, self.every = spark, key, every
-        self.whole = VersionedTable(spark, f"{root}/whole", schema)
-        self.changes = VersionedTable(spark, f"{root}/changes", schema)
-
-    def versions(self) -> list[int]:
-        return self.changes.versions()
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The rows after all batches, or after those before a given one."""
-        wholes = [v for v in self.whole.versions() if before is None or v < before]
-        base = wholes[-1] if wholes else 0
-        later = [v for v in self.changes.versions() if v > base and (before is None or v < before)]
-        parts = [(base, self.whole.read(base))] if wholes else []
-        parts += [(v, self.changes.read(v)) for v in later]
-        if not parts:
-            return self.spark.createDataFrame([], self.changes.schema)
-        if len(parts) == 1:
-            return parts[0][1]
-        rows = reduce(DataFrame.union, [df.withColumn("__version", F.lit(v)) for v, df in parts])
-        row = F.struct(*[c for c in rows.columns if c != "__version"])
-        latest = rows.groupBy(self.key).agg(F.max_by(row, "__version").alias("__row"))
-        return latest.select("__row.*")
-
-    def write(self, changed: DataFrame, version: int) -> None:
-        self.changes.write(changed, version)
-
-    def compact(self, version: int) -> None:
-        """Write the whole as of ``version`` if enough changes have come since the last one."""
-        wholes = self.whole.versions()
-        if sum(v > (wholes[-1] if wholes else 0) for v in self.changes.versions()) >= self.every:
-            self.whole.write(self.read(version + 1), version)

@@ -12,7 +12,7 @@ from quire.rules import DEFAULT
 from quire.sources import content_store, registry_json
 from quire.sources.content_store import ContentStore
 from quire.sources.pages import read_pages, write_bucketed
-from quire.sources.versioned import ChangeLog, VersionedTable
+from quire.sources.versioned import VersionedTable
 from quire.streaming.ingest import PageIngest
 
 AT = dt.datetime(2024, 3, 1, 12)
@@ -98,25 +98,68 @@ def test_images_reach_content_and_collection(spark, site, tmp_path):
     assert [(r.ordinal, r.doc_id) for r in spark.read.parquet(f"{out}/images").collect()] == [(1, "a.html")]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    files = [[(i, f"http://s.example/{i}.html", page(f"May {2000 + i}")) for i in part] for part in ([0, 1], [2, 3], [1, 4])]
-    landing = tmp_path / "landing"
-    landing.mkdir()
+def land(spark, folder, rows):
     schema = "page_id bigint, url string, html string"
-    for n, rows in enumerate(files):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(landing))
-    stream = PageIngest(spark, str(landing), str(tmp_path / "s"), AT)
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+FIELDS = ["doc_id", "title", "url", "date", "raw_date_str", "read"]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    url = "http://s.example/{}.html".format
+    parts = [[(i, url(i), page(f"May {2000 + i}")) for i in part] for part in ([0, 1], [2, 3], [1, 4])]
+    parts[1] += [(9, url(2), page("May 1990")), (None, url(7), page("May 2007")), (5, None, page("x")), (6, url("empty"), " ")]
+    for rows in parts:
+        land(spark, tmp_path / "landing", rows)
+    stream = PageIngest(spark, str(tmp_path / "landing"), str(tmp_path / "s"), AT)
     stream.run(max_files_per_batch=2)
     assert len(stream.content.batches()) == 2
-    content = sorted((r.doc_id, r.content_html) for r in stream.content.read().collect())
-    once = PageIngest(spark, str(landing), str(tmp_path / "b"), AT)
-    once.process(spark.read.schema(schema).parquet(str(landing)), 0)
-    assert content == sorted((r.doc_id, r.content_html) for r in once.content.read().collect()) and len(content) == 5
-    fields = ["doc_id", "title", "url", "date", "raw_date_str", "read"]
-    assert sorted(map(tuple, stream.registry.read().select(fields).collect())) == sorted(map(tuple, once.registry.read().select(fields).collect()))
-    versions = stream.registry.versions()
-    stream.process(spark.read.schema(schema).parquet(str(landing)), 1)
-    assert stream.registry.versions() == versions and stream.content.read().count() == 5
+    once = PageIngest(spark, str(tmp_path / "landing"), str(tmp_path / "b"), AT)
+    once.run()
+    assert len(once.content.batches()) == 1
+    content = [sorted((r.doc_id, r.content_html) for r in x.content.read().collect()) for x in (stream, once)]
+    assert content[0] == content[1] and len(content[0]) == 6
+    rows = [sorted(map(tuple, x.registry().select(FIELDS).collect())) for x in (stream, once)]
+    assert rows[0] == rows[1] and dict((r[0], r[3]) for r in rows[0])[url(2)] == "2002-05-01"
+    places = {r.doc_id: r.first_pos for r in stream.registry().collect()}
+    assert max(places[url(i)] for i in range(3)) < places[url(4)] and places[url(3)] < places[url(7)]
+
+
+def test_stream_state_lives_from_run_to_run(spark, tmp_path):
+    """Later runs parse only what is new, and note the rest as seen, out of state and not out of written tables."""
+    land(spark, tmp_path / "landing", [(i, f"u{i}", page("May 2001")) for i in range(4)])
+    first = PageIngest(spark, str(tmp_path / "landing"), str(tmp_path / "s"), AT)
+    first.run()
+    later = PageIngest(spark, str(tmp_path / "landing"), str(tmp_path / "s"), AT + dt.timedelta(days=1))
+    later.run()  # nothing new
+    assert later.content.batches() == [1] and {r.last_seen for r in later.registry().collect()} == {AT}
+    land(spark, tmp_path / "landing", [(7, "u1", page("June 2009", "Another text. " * 30)), (8, "u1", page("July 2009")), (9, "new", page("May 2002"))])
+    later.run()
+    rows = {r.doc_id: r for r in later.registry().collect()}
+    assert len(rows) == 5 and rows["u1"].date == "2001-05-01" and rows["new"].date == "2002-05-01"
+    assert {k for k, r in rows.items() if r.last_seen > AT} == {"u1", "new"}
+    assert {r.doc_id: r.copies for r in later.state().collect()} == {"u0": 1, "u1": 3, "u2": 1, "u3": 1, "new": 1}
+    stored = spark.read.parquet(later.content._batches().path_of(later.content.batches()[-1]))
+    assert [r.doc_id for r in stored.collect()] == ["new"]
+
+
+def test_stream_repeats_a_batch_that_failed(spark, tmp_path, monkeypatch):
+    land(spark, tmp_path / "landing", [(i, f"u{i}", page("May 2001")) for i in range(3)])
+    run = PageIngest(spark, str(tmp_path / "landing"), str(tmp_path / "s"), AT)
+    whole = PageIngest._process
+
+    def dies(self, arrivals, batch_id):
+        arrivals.write.mode("overwrite").parquet(f"{self.root}/arrivals/batch={batch_id:010d}")
+        raise RuntimeError("lost between state and content")
+
+    monkeypatch.setattr(PageIngest, "_process", dies)
+    with pytest.raises(Exception, match="lost between"):
+        run.run()
+    monkeypatch.setattr(PageIngest, "_process", whole)
+    run.run()
+    assert sorted(r.doc_id for r in run.registry().collect()) == ["u0", "u1", "u2"] and run.content.read().count() == 3
+    assert {r.copies for r in run.state().collect()} == {1}
 
 
 def test_state_files(spark, tmp_path):
@@ -192,18 +235,3 @@ def test_failed_fetches_are_left_out(spark, tmp_path):
     rows = [(1, "u", None), (2, "u", " \n"), (3, "u", "<p>x")]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "p"))
     assert [r.page_id for r in read_pages(spark, str(tmp_path / "p")).collect()] == [3]
-
-
-def test_change_log_folds_and_compacts(spark, tmp_path):
-    log = ChangeLog(spark, str(tmp_path / "log"), "k string, v int", "k", every=2)
-    batches = [[("a", 1), ("b", 1)], [("b", 2), ("c", 2)], [("a", 3)], [], [("d", 5)]]
-    state, states = {}, []
-    for version, rows in enumerate(batches, 1):
-        for _ in range(2):  # a repeated batch changes nothing
-            log.write(spark.createDataFrame(rows, "k string, v int"), version)
-            log.compact(version)
-        state = {**state, **dict(rows)}
-        states.append(state)
-        assert dict(map(tuple, log.read().collect())) == state
-    assert log.whole.versions() == [2, 4]
-    assert [dict(map(tuple, log.read(v).collect())) for v in range(1, 6)] == [{}, *states[:4]]
