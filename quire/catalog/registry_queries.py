@@ -13,6 +13,7 @@ from quire.operators import incremental, registry
 from quire.operators.ranking import numbered, scratch_folder
 from quire.rules import DEFAULT
 from quire.sources import content_store, registry_json
+from quire.sources.hashed import Registry
 from quire.streaming.ingest import PageIngest
 
 SEEN_AT = dt.datetime(2024, 6, 1)
@@ -59,6 +60,21 @@ def _upsert_query(name, rules, raw, new_raw):
         return merged.select("doc_id", "title", "url", "date", "raw_date_str", "read", seen, "first_pos")
 
 
+def _stored_registry(spark, sf_dir):
+    """The registry in hash partitions, in the shared scratch folder."""
+    table = Registry(spark, f"{scratch_folder(spark)}/registry-{uuid.uuid4().hex}")
+    table.replace(registry_table(spark, sf_dir))
+    return table
+
+
+@query("M1_upsert_in_place", _upsert_sql("nullif(raw_date_str, '')", "CASE WHEN s.doc_id IS NULL THEN t.raw_date_str ELSE coalesce(s.raw_date_str, t.raw_date_str, '') END"))
+def upsert_in_place(spark, sf_dir):
+    table = _stored_registry(spark, sf_dir)
+    table.upsert(_source(spark, sf_dir), SEEN_AT)
+    seen = F.col("last_seen").isNotNull().alias("seen")
+    return table.read().select("doc_id", "title", "url", "date", "raw_date_str", "read", seen, "first_pos")
+
+
 _upsert_query(
     "M1_upsert", DEFAULT, "nullif(raw_date_str, '')",
     "CASE WHEN s.doc_id IS NULL THEN t.raw_date_str ELSE coalesce(s.raw_date_str, t.raw_date_str, '') END",
@@ -70,6 +86,19 @@ def _toxic(spark, sf_dir):
     return load(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
 
 
+@query(
+    "M2_M3_marked_in_place",
+    f"""SELECT doc_id, CASE WHEN doc_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1) THEN true
+                          WHEN doc_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0) THEN false ELSE read END AS read
+        FROM ({REGISTRY_SQL})""",
+)
+def marked_in_place(spark, sf_dir):
+    table, poor = _stored_registry(spark, sf_dir), load(spark, sf_dir, "labels").where("quality = 0")
+    table.mark(poor.select(F.col("doc_id").cast("string").alias("doc_id")), False)
+    table.mark(_toxic(spark, sf_dir), True)
+    return table.read().select("doc_id", "read")
+
+
 _TOXIC = "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM labels WHERE toxic = 1"
 
 
