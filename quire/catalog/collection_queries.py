@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from quire.catalog import image_files
 from quire.catalog.base import REGISTRY_SQL, load, query, registry_table
 from quire.catalog.region_queries import _region_sql, _sql_escape
 from quire.functions import text, urls
 from quire.operators import chapters, images
+from quire.operators.ranking import scratch_folder
 from quire.rules import DEFAULT
+from quire.sources.binary_files import write_files
+from quire.sources.pages import read_images
 
 _BODY = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
@@ -200,6 +205,40 @@ def decorative_images(spark, sf_dir):
     return pages.select("page_id", images.is_decorative(F.col("url"), IMAGE_RULES).alias("decorative"))
 
 
+_FILES_SQL = """SELECT p_partkey, ['png', 'gif', 'webp', 'bad'][p_partkey % 4 + 1] AS kind,
+                       p_size * 2 AS width, p_size * 3 AS height FROM part"""
+
+
+def _image_files(spark, sf_dir):
+    """A file for every part, in the shared scratch folder: three formats, and every fourth one no image."""
+    kinds = F.array(*map(F.lit, image_files.KINDS))
+    rows = load(spark, sf_dir, "part").select(
+        F.get(kinds, (F.col("p_partkey") % 4).cast("int")).alias("kind"), "p_partkey",
+        (F.col("p_size") * 2).cast("int").alias("width"), (F.col("p_size") * 3).cast("int").alias("height"),
+    ).withColumn("name", F.format_string("%d.%s", "p_partkey", F.when(F.col("kind") == "bad", "png").otherwise(F.col("kind"))))
+    path = f"{scratch_folder(spark)}/images-{uuid.uuid4().hex}"
+    spread = rows.repartition(spark.sparkContext.defaultParallelism)
+    write_files(spread.select("name", "kind", "width", "height").mapInPandas(image_files.encode, "name string, data binary"), path)
+    return read_images(spark, path)
+
+
+@query("SRC6_image_files", f"SELECT p_partkey, '.' || kind AS suffix, CAST(width AS INT) AS width, CAST(height AS INT) AS height FROM ({_FILES_SQL}) WHERE kind <> 'bad'")
+def image_files_read(spark, sf_dir):
+    key = F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias("p_partkey")
+    return _image_files(spark, sf_dir).select(key, "suffix", "width", "height")
+
+
+@query(
+    "I3_decoded_sizes",
+    f"SELECT kind, count(*) AS n_files, sum(width) AS widths FROM ({_FILES_SQL}) WHERE kind <> 'bad' AND width >= 50 AND height >= 50 GROUP BY kind",
+)
+def decoded_sizes(spark, sf_dir):
+    """Images whose decoded size is large enough."""
+    large = images.usable_images(_image_files(spark, sf_dir))
+    kind = F.substring("suffix", 2, 10).alias("kind")
+    return large.groupBy(kind).agg(F.count("*").alias("n_files"), F.sum("width").alias("widths"))
+
+
 @query("I3_large_images", "SELECT p_partkey, p_size * 2 AS width, p_size * 3 AS height FROM part WHERE p_size * 2 >= 50 AND p_size * 3 >= 50")
 def large_images(spark, sf_dir):
     sized = load(spark, sf_dir, "part").select(

@@ -1,10 +1,13 @@
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from quire.catalog import image_files
 from quire.operators import images
 from quire.rules import DEFAULT
+from quire.sources.binary_files import write_files
 from quire.sources.pages import read_images
 
 
@@ -71,3 +74,33 @@ def test_navigation_images(spark):
     df = spark.createDataFrame([("/x/HOME.gif", None), ("q.gif", "RSS feed"), ("q.gif", None)], "s string, a string")
     flags = df.select(images.is_navigation_image(F.col("s"), F.col("a"), DEFAULT).alias("f")).collect()
     assert [r.f for r in flags] == [True, True, False]
+
+
+def test_binary_files_are_put_down_by_tasks(spark, tmp_path):
+    rows = [(f"{i}.bin", bytes([i]) * (i + 1)) for i in range(40)] + [(None, b"x"), ("none.bin", None), ("7.bin", b"\7" * 8)]
+    df = spark.createDataFrame(rows, "name string, data binary").repartition(5)
+    for _ in range(2):  # a repeated job writes the same files
+        write_files(df, str(tmp_path / "out"))
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert names == sorted(["_SUCCESS", *[f"{i}.bin" for i in range(40)]])
+    read = spark.read.format("binaryFile").load(str(tmp_path / "out")).select("path", "content").collect()
+    assert {r.path.rsplit("/", 1)[-1]: bytes(r.content) for r in read} == {n: d for n, d in rows if n and d is not None}
+    write_files(df.limit(0), f"file://{tmp_path}/empty")
+    assert [p.name for p in (tmp_path / "empty").iterdir()] == ["_SUCCESS"]
+
+
+@pytest.mark.parametrize("name", ["../up", ".hidden", "_meta"])
+def test_binary_files_need_plain_names(spark, tmp_path, name):
+    with pytest.raises(Exception, match="not the name of a data file"):
+        write_files(spark.createDataFrame([(name, b"x")], "name string, data binary"), str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "_SUCCESS").exists()
+
+
+def test_written_images_are_read_back(spark, tmp_path):
+    sizes = [(k, w, h) for k in image_files.KINDS for w, h in ((1, 1), (2, 3), (50, 51), (300, 49), (255, 256))]
+    df = spark.createDataFrame([(f"{w}x{h}.{k if k != 'bad' else 'jpg'}", k, w, h) for k, w, h in sizes], "name string, kind string, width int, height int")
+    write_files(df.mapInPandas(image_files.encode, "name string, data binary"), str(tmp_path / "out"))
+    found = read_images(spark, str(tmp_path / "out")).select("path", "suffix", "width", "height").collect()
+    assert sorted((r.path.rsplit("/", 1)[-1], r.suffix[1:], r.width, r.height) for r in found) == sorted(
+        (f"{w}x{h}.{k}", k, w, h) for k, w, h in sizes if k != "bad"
+    )
