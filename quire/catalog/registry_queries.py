@@ -11,6 +11,7 @@ from quire.catalog.base import CONTENT_SQL, REGISTRY_SQL, load, query, registry_
 from quire.catalog.markup_queries import _sql_clean
 from quire.operators import incremental, registry
 from quire.operators.ranking import numbered, scratch_folder
+from quire.operators.title_index import TitleIndex
 from quire.rules import DEFAULT
 from quire.sources import content_store, registry_json
 from quire.sources.hashed import Registry
@@ -159,6 +160,37 @@ def match_report(spark, sf_dir):
     return registry.match_report(registry_table(spark, sf_dir), _ASKED)
 
 
+_MANY_SQL = f"""(SELECT DISTINCT substr(title, 1 + first_pos % 20, 2 + first_pos % 9) || CASE WHEN first_pos % 13 = 0 THEN '#' ELSE '' END AS query
+                 FROM ({REGISTRY_SQL}) WHERE substr(title, 1 + first_pos % 20, 2 + first_pos % 9) <> '')"""
+
+
+def _many_queries(spark, sf_dir):
+    """A piece of every title, so that there are as many queries as documents; some that no title has."""
+    piece = F.expr("substr(title, int(1 + first_pos % 20), int(2 + first_pos % 9))")
+    rows = registry_table(spark, sf_dir).withColumn("piece", piece).where("piece <> ''")
+    return rows.select(F.concat("piece", F.when(F.col("first_pos") % 13 == 0, "#").otherwise("")).alias("query"))
+
+
+def _title_index(spark, sf_dir):
+    index = TitleIndex(spark, f"{scratch_folder(spark)}/titles-{uuid.uuid4().hex}")
+    index.build(registry_table(spark, sf_dir))
+    return index
+
+
+@query("M9_indexed_matches", f"SELECT query, doc_id FROM ({REGISTRY_SQL}) JOIN {_MANY_SQL} ON contains(lower(title), lower(query))")
+def indexed_matches(spark, sf_dir):
+    found = _title_index(spark, sf_dir).matches(registry_table(spark, sf_dir), _many_queries(spark, sf_dir))
+    return found.select("query", "doc_id")
+
+
+@query(
+    "M9_indexed_report",
+    f"SELECT query, count(doc_id) AS n_hits FROM {_MANY_SQL} LEFT JOIN ({REGISTRY_SQL}) ON contains(lower(title), lower(query)) GROUP BY 1",
+)
+def indexed_report(spark, sf_dir):
+    return _title_index(spark, sf_dir).report(registry_table(spark, sf_dir), _many_queries(spark, sf_dir))
+
+
 _TARGETS = f"""SELECT unnest(['1', '2', 'nowhere']) AS doc_id UNION SELECT doc_id FROM ({REGISTRY_SQL})
                WHERE contains(lower(title), 'nicht') OR contains(lower(title), 'la ')"""
 
