@@ -1,5 +1,8 @@
+import random
 from collections import Counter
 
+import numpy as np
+
 from quire.llm import contamination as con
 
 
@@ -46,3 +49,42 @@ def test_against_brute_force(spark, documents, prose, odd):
     assert got == brute(docs, items) and len({d for d, *_ in got}) > 20 and df.count() == len(got)
     for a, b in ((documents([]), bench), (documents(docs), bench.limit(0))):
         assert con.contaminated(a, b).count() == 0
+
+
+def test_any_order_of_shingles_keeps_a_common_one():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        m = int(rng.integers(1, 60))
+        item = rng.integers(0, rng.choice([5, 1000]), m).astype(np.uint64)
+        window = item[: rng.integers(max(1, m * 2 // 3), m + 1)].copy()
+        for at in rng.integers(0, len(window), rng.integers(0, m // 4 + 1)):
+            window[at] = rng.integers(0, 1000)
+        both = Counter(window.tolist()) & Counter(item.tolist())
+        need = con.needed(len(window), m)
+        if sum(both.values()) < need:
+            continue
+        known = np.unique(rng.integers(0, 1000, 50).astype(np.uint64))
+        common = known, rng.integers(8, 99, len(known))
+        least = -(-m * 2 // 3)
+        assert set(con.rarest(window, common, len(window) - need + 1).tolist()) & set(con.rarest(item, common, m - least + 1).tolist())
+
+
+def test_many_items_of_one_length_meet_few_windows(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    frame = "the same frame opens every item of this benchmark table".split()  # shingles that all items share
+    texts = [" ".join(frame + rng.choices(words, k=30)) for _ in range(10_000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    planted = {i: rng.randrange(10_000) for i in range(300)}
+    docs = documents([(i, " ".join([*rng.choices(words, k=50), texts[n], *rng.choices(words, k=20)])) for i, n in planted.items()])
+    seen, whole = {}, con._candidates
+
+    def counted(windows, own):
+        found = whole(windows, own)
+        seen["met"], seen["windows"] = found.select("doc", "start", "item").distinct().count(), windows.count()
+        return found
+
+    monkeypatch.setattr(con, "_candidates", counted)
+    got = {(r["doc_id"], r["item_id"]) for r in con.contaminated(docs, items).collect()}
+    assert got == set(planted.items())
+    assert seen["windows"] >= 300 and seen["met"] < 0.01 * seen["windows"] * 10_000
