@@ -31,32 +31,22 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COUNTS = ("everywhere", "toxic0", "clean0", "toxic1", "clean1")
 
 
-def _features(word: str) -> tuple[int, ...]:
-    word = word.strip(EDGE).lower()
-    forms = ["w" + word, *(f"{n}{word[:n]}" for n in STEMS)]
-    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in forms)
-
-
-class Words:
-    """Buckets of words, kept between batches: at most ``most`` words and 12 bytes and a place for each."""
-
-    def __init__(self, most: int = 100_000):
-        self.places: dict[str, int] = {}
-        self.table = np.zeros((most, 1 + len(STEMS)), dtype=np.int32)
-
-    def buckets(self, words: list[str]) -> np.ndarray:
-        places, own, out = self.places, [], []
-        for w in words:
-            at = places.get(w)
-            if at is None:
-                if len(places) == len(self.table):
-                    out.append(self.table[own])
-                    places.clear()
-                    own = []
-                at = places[w] = len(places)
-                self.table[at] = _features(w)
-            own.append(at)
-        return np.concatenate([*out, self.table[np.array(own, dtype=np.int64)]]).astype(np.int64)
+#: Checksums of the marks in front of a word's forms, from which those of the forms go on.
+MARKS = tuple(zlib.crc32(m) for m in (b"w", *(str(n).encode() for n in STEMS)))
+
+
+def buckets(words: list[str]) -> np.ndarray:
+    """The buckets of each word's forms: ``w`` and the word, and each stem's length and the stem, by checksum."""
+    out, crc, (whole, *stems) = [], zlib.crc32, MARKS
+    for word in words:
+        word = word.strip(EDGE).lower()
+        code = word.encode("utf-8", "surrogatepass")
+        out.append(crc(code, whole))
+        if len(code) == len(word):
+            out += [crc(code[:n], mark) for n, mark in zip(STEMS, stems)]
+        else:
+            out += [crc(word[:n].encode("utf-8", "surrogatepass"), mark) for n, mark in zip(STEMS, stems)]
+    return np.array(out, dtype=np.int64).reshape(-1, 1 + len(STEMS)) % BUCKETS
 
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -105,15 +95,15 @@ def _count(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = Words(), np.zeros((len(COUNTS), BUCKETS), dtype=np.int64)
+        sums = np.zeros((len(COUNTS), BUCKETS), dtype=np.int64)
         tokens = np.zeros(len(COUNTS), dtype=np.int64)
         for batch in slices(batches, "text"):
             offsets, where, names = _split(batch.column("text"))
             kind = np.asarray(pc.fill_null(batch.column("kind"), 0))
             doc = np.repeat(np.arange(len(kind)), np.diff(offsets))
-            buckets, full = words.buckets(names), np.array([bool(n) for n in names], dtype=bool)
+            forms, full = buckets(names), np.array([bool(n) for n in names], dtype=bool)
             doc, where = doc[full[where]], where[full[where]]
-            for form in buckets.T:  # a token counts once in a document
+            for form in forms.T:  # a token counts once in a document
                 own, bucket = np.divmod(np.unique(doc * BUCKETS + form[where]), BUCKETS)
                 for k in range(len(COUNTS)):
                     some = bucket if k == 0 else bucket[kind[own] == k]
@@ -128,11 +118,11 @@ def _count(docs: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def _passages(texts: pa.Array, folds: np.ndarray, models: list[Model], words: Words) -> tuple[list[int], list[list]]:
+def _passages(texts: pa.Array, folds: np.ndarray, models: list[Model]) -> tuple[list[int], list[list]]:
     """Words of each text, and its passages (first character, behind the last, score) under the model of its fold."""
     offsets, where, names = _split(texts)
-    buckets = words.buckets(names)
-    by_model = [m.scores(buckets) for m in models]
+    forms = buckets(names)
+    by_model = [m.scores(forms) for m in models]
     tables = [dict(zip(names, x.tolist())) for x in by_model]
     positive = [np.append(0, np.cumsum(x[where] > 0)) for x in by_model]
     sizes, found = np.diff(offsets).tolist(), []
@@ -151,18 +141,17 @@ def _learned_passages(rows: DataFrame, shared) -> DataFrame:
     """(kind, tokens, passages): scores of the passages of learned documents, by the other fold's model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in slices(batches, "text"):
             folds = np.asarray(batch.column("fold"), dtype=np.int64)
-            sizes, found = _passages(batch.column("text"), folds, shared.value, words)
+            sizes, found = _passages(batch.column("text"), folds, shared.value)
             scores = pa.array([[s for *_, s in x] for x in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(sizes, pa.int64()), scores], ["kind", "tokens", "passages"])
 
     return rows.select("text", "kind", "fold").mapInArrow(run, "kind int, tokens long, passages array<double>")
 
 
-def _scored(batch: pa.RecordBatch, text: str, model: Model, words: Words) -> tuple[list[float], list[list[dict]]]:
-    sizes, found = _passages(batch.column(text), np.zeros(batch.num_rows, np.int64), [model], words)
+def _scored(batch: pa.RecordBatch, text: str, model: Model) -> tuple[list[float], list[list[dict]]]:
+    sizes, found = _passages(batch.column(text), np.zeros(batch.num_rows, np.int64), [model])
     scores, toxic = [], []
     for n, own in zip(sizes, found):
         each = [model.surprise(s, n) for *_, s in own]
@@ -244,9 +233,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in slices(batches, "text"):
-            scores, toxic = _scored(batch, "text", shared.value, words)
+            scores, toxic = _scored(batch, "text", shared.value)
             arrays = [batch.column("key"), pa.array(scores, pa.float64()), pa.array(toxic, PASSAGES)]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "score", "passages"])
 
@@ -261,9 +249,8 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in slices(batches, text):
-            scores, _ = _scored(batch, text, shared.value, words)
+            scores, _ = _scored(batch, text, shared.value)
             yield batch.filter(pa.array([x < threshold for x in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -42,9 +42,13 @@ def test_segments_take_time_in_proportion():
     assert seconds(160_000) < 8 * max(seconds(40_000), 0.02)
 
 
-def test_words_beyond_the_cache_keep_their_buckets():
-    words = [f"word{i % 50}" for i in range(300)]
-    assert np.array_equal(tox.Words(most=7).buckets(words), [tox._features(w) for w in words])
+def test_buckets_of_words_and_stems():
+    words = ["Word", "\"quoted\"", "ÄÖÜ-straße", "a", "", "---", "中文中文中文", "x" * 1000, "İstanbul"]
+    want = []
+    for w in words:
+        w = w.strip(tox.EDGE).lower()
+        want.append([zlib.crc32(x.encode()) % tox.BUCKETS for x in ("w" + w, "4" + w[:4], "5" + w[:5])])
+    assert tox.buckets(words).tolist() == want and tox.buckets([]).shape == (0, 3)
 
 
 @pytest.fixture(scope="module")
