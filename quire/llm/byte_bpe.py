@@ -14,15 +14,16 @@ import pyarrow.compute as pc
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space in which a cut before a plain space could fall inside one of the pattern's pieces.
 UNSAFE = re.compile(r"\s \s|\s $")
-MOST_WORDS = 100_000
-MOST_BYTES = 8 << 20  # of ids kept
+BLANK = re.compile(r"\s")
+AT_ONCE = 1 << 20  # characters of distinct words encoded in one go
 
 
 class ByteBpe:
     """Ids as the ``tokenizers`` file gives them, special strings inside texts included.
 
     The pattern never joins what stands before a single space to what follows, so a text is cut there, each distinct
-    piece is encoded once with the same vocabulary as ranks, and the ids are gathered by index. Texts with other runs of
+    piece of a batch is encoded once with the same vocabulary as ranks, and the ids are gathered by index. Pieces without
+    other white space are encoded as one text and told apart by the bytes of their ids. Texts with other runs of
     white space are encoded whole, texts that hold a special string by the tokenizer itself.
     """
 
@@ -36,8 +37,8 @@ class ByteBpe:
         self.load = lambda: Tokenizer.from_file(tokenizer_file)
         added = [t.content for t in self.load().get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.words: dict[str, bytes] = {}
-        self.held = 0
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)  # bytes of each id
+        self.sizes[list(ranks.values())] = [len(x) for x in ranks]
 
     @cached_property
     def tokenizer(self):
@@ -61,9 +62,7 @@ class ByteBpe:
         where = np.asarray(coded.indices).astype(np.int64) * 2 + ~first
         kinds, where = np.unique(where, return_inverse=True)
         names = coded.dictionary.to_pylist()
-        ids = [self._word(" " * (k & 1) + names[k >> 1]) for k in kinds.tolist()]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool, begin = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum(lengths) - lengths
+        pool, begin, lengths = self._pieces([" " * (k & 1) + names[k >> 1] for k in kinds.tolist()])
         out = []
         for i in range(len(texts)):
             own = where[offsets[i] : offsets[i + 1]]
@@ -74,17 +73,27 @@ class ByteBpe:
             out[i] = self.whole(texts[i].as_py())
         return out
 
-    def _word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            found = np.array(self.ranks.encode_ordinary(word), dtype=np.uint32).tobytes()
-            if len(self.words) >= MOST_WORDS or self.held + len(found) > MOST_BYTES:
-                self.words.clear()
-                self.held = 0
-            if len(found) <= MOST_BYTES:
-                self.words[word] = found
-                self.held += len(found)
-        return np.frombuffer(found, dtype=np.uint32)
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in one array, where those of each begin there and how many it has."""
+        plain = np.array([len(x) > 1 and x[0] == " " and not BLANK.search(x, 1) for x in pieces], dtype=bool)
+        begin, lengths = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        ids, taken, whole = [np.zeros(0, np.uint32)], 0, np.flatnonzero(plain)
+        size = np.cumsum(np.fromiter((len(pieces[i]) for i in whole), np.int64, len(whole)))
+        for some in np.split(whole, np.flatnonzero(np.diff(size // AT_ONCE)) + 1):
+            held = [pieces[i] for i in some.tolist()]
+            found = np.array(self.ranks.encode_ordinary("".join(held)), dtype=np.uint32)
+            ends = np.cumsum(np.fromiter((len(x.encode()) for x in held), np.int64, len(held)))
+            places = np.searchsorted(np.cumsum(self.sizes[found]), ends) + 1
+            lengths[some] = np.diff(places, prepend=0)
+            begin[some] = taken + places - lengths[some]
+            ids.append(found)
+            taken += len(found)
+        for i in np.flatnonzero(~plain).tolist():
+            found = np.array(self.ranks.encode_ordinary(pieces[i]), dtype=np.uint32)
+            begin[i], lengths[i] = taken, len(found)
+            ids.append(found)
+            taken += len(found)
+        return np.concatenate(ids), begin, lengths
 
 
 @cache
