@@ -1,12 +1,14 @@
 import random
 import time
 import timeit
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import markup
-from quire.functions.spans import nested
+from quire.functions.spans import nested, spans_of
 from quire.operators import regions
 from quire.operators.content import extract_content
 from quire.rules import DEFAULT
@@ -177,3 +179,27 @@ def test_images_of_the_chosen_region(spark):
     found = extract_content(df, rules=rules, base="url").first()
     assert [i.url for i in found.image_refs] == ["http://s.example/d/a.png", "http://s.example/d/b.png"]
     assert "img" not in found.content_html
+
+
+def test_kernels_hold_few_pages_at_a_time():
+    """Ten times as many pages in a batch take no more memory beside it; nulls and slices keep their places."""
+    page, size = ["div", "p", "/p", "a", "/a", "/div"] * 50, [5] * 301
+
+    def peak(pages):
+        batch = pa.array([page] * pages), pa.array([size] * pages)
+        tracemalloc.start()
+        found = [(len(c), max(map(len, c.to_pylist()))) for c in spans_of([batch], "a", 3_000)]
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(n for n, _ in found) == pages and {most for _, most in found} == {150} and max(n for n, _ in found) == 10
+        return used
+
+    small, large = peak(100), peak(1_000)
+    assert large < 2 * small + 3_000_000  # the sizes of the batch's own lists grow, its elements are given back
+
+    names = pa.array([["p"], None, [], ["p", "/p", "b"]])
+    lengths = pa.array([[1, 2], [9], [3], [1, 2, 3, 4]])
+    rows = [e and [(x["tag"], x["open"], x["close"], x["len"]) for x in e] for c in spans_of([(names, lengths)], None, 1) for e in c.to_pylist()]
+    assert rows == [[("p", 0, 1, 2)], None, [], [("p", 0, 1, 2), ("b", 2, 3, 4)]]
+    sliced = [len(e) for c in spans_of([(names.slice(2), lengths.slice(2))], None, 1) for e in c.to_pylist()]
+    assert sliced == [0, 2]
