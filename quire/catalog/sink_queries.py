@@ -47,6 +47,14 @@ def read_state(spark, sf_dir):
     return registry_json.read_state_parts(spark, path).select("doc_id", "title", "url", "date", "raw_date_str", "read")
 
 
+@query("SRC3_state_files", f"SELECT doc_id, title, url, date, raw_date_str, read FROM ({REGISTRY_SQL})")
+def read_state_files(spark, sf_dir):
+    """Whole state files in the indented layout, each read by as many tasks as it has blocks."""
+    path = _folder(spark)
+    registry_json.write_state_files(registry_table(spark, sf_dir), path, SEEN_AT)
+    return registry_json.read_state(spark, path).select("doc_id", "title", "url", "date", "raw_date_str", "read")
+
+
 @query("SRC4_stored_content", CONTENT_SQL)
 def content_of_store(spark, sf_dir):
     return _store(spark, stored_content(spark, sf_dir)).read().select("doc_id", "content_html")

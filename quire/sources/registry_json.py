@@ -5,36 +5,71 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.sources import json_members
+
 _RECORD = (
     "struct<essay_id:string,title:string,url:string,date:string,raw_date_str:string,read:boolean,last_seen:string>"
 )
-STATE_SCHEMA = f"last_update string, essays map<string,{_RECORD}>"
+ENTRIES = "essays"
+
+
+def _text_of(value: Column) -> Column:
+    """A JSON string, null without a value."""
+    quoted = F.regexp_replace(F.to_json(F.struct(value.alias("k"))), F.lit(r'^\{"k":|\}$'), F.lit(""))
+    return F.when(value.isNull(), "null").otherwise(quoted)
+
+
+def _registry_columns(record: str) -> list[Column]:
+    e = F.col(record)
+    return [
+        F.coalesce(e["title"], F.lit("")).alias("title"),
+        F.coalesce(e["url"], F.lit("")).alias("url"),
+        e["date"].alias("date"),
+        e["raw_date_str"].alias("raw_date_str"),
+        F.coalesce(e["read"], F.lit(False)).alias("read"),
+        F.try_to_timestamp(e["last_seen"]).alias("last_seen"),
+    ]
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3: registry rows of state files. The map key is the id; missing titles and urls are '', missing read is
-    false; a file that is not valid JSON gives no rows."""
-    raw = spark.read.text(path, wholetext=True)
-    state = raw.select(F.from_json("value", STATE_SCHEMA).alias("s"))
-    return state.select(F.posexplode("s.essays").alias("first_pos", "doc_id", "e")).select(
-        "doc_id",
-        F.coalesce("e.title", F.lit("")).alias("title"),
-        F.coalesce("e.url", F.lit("")).alias("url"),
-        "e.date",
-        "e.raw_date_str",
-        F.coalesce("e.read", F.lit(False)).alias("read"),
-        F.try_to_timestamp("e.last_seen").alias("last_seen"),
-        F.col("first_pos").cast("bigint").alias("first_pos"),
-    )
+    """SRC3: registry rows of state files, each read by as many tasks as it has blocks (``json_members``).
+
+    The map key is the id; missing titles and urls are '', missing read is false; a file that is not valid JSON gives no
+    rows. ``first_pos`` counts the entries of a file from 0.
+    """
+    entries, _ = json_members.members(spark, path, ENTRIES, _RECORD)
+    return entries.select(F.col("key").alias("doc_id"), *_registry_columns("value"), F.col("pos").alias("first_pos"))
 
 
 def read_last_update(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(
-        F.from_json("value", STATE_SCHEMA)["last_update"].alias("last_update")
+    """When each valid state file was written, null where it does not say."""
+    return json_members.members(spark, path, ENTRIES, _RECORD)[1].select(F.col("values")["last_update"].alias("last_update"))
+
+
+def write_state_files(registry: DataFrame, path: str, last_update: dt.datetime, documents: int = 100_000) -> None:
+    """SNK1: whole state files in the indented layout, one for each ``documents`` places, in folders by number.
+
+    Each file is one object and written by one task; ``write_state`` makes one object of any size out of parts.
+    """
+    fields = ("doc_id", "title", "url", "date", "raw_date_str", "read", "last_seen")
+    seen = F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    values = {"read": F.col("read").cast("string"), "last_seen": _text_of(seen)}
+    lines = [
+        F.concat(F.lit(f'      "{"essay_id" if c == "doc_id" else c}": '), values.get(c, _text_of(F.col(c)))) for c in fields
+    ]
+    entry = F.concat(F.lit("    "), _text_of(F.col("doc_id")), F.lit(": {\n"), F.concat_ws(",\n", *lines), F.lit("\n    }"))
+    head = f'{{\n  "last_update": {json.dumps(last_update.isoformat())},\n  "{ENTRIES}": {{\n'
+    of_file = Window.partitionBy("file").orderBy("first_pos", "doc_id")
+    rows = registry.select(F.floor(F.col("first_pos") / documents).alias("file"), "first_pos", "doc_id", entry.alias("entry"))
+    value = F.concat(
+        F.when(F.row_number().over(of_file) == 1, head).otherwise(""),
+        "entry",
+        F.when(F.lead("doc_id").over(of_file).isNull(), "\n  }\n}").otherwise(","),
     )
+    rows.select("file", value.alias("value")).write.mode("overwrite").partitionBy("file").text(path)
 
 
 def state_lines(registry: DataFrame, last_update: dt.datetime) -> DataFrame:
@@ -48,8 +83,7 @@ def state_lines(registry: DataFrame, last_update: dt.datetime) -> DataFrame:
         F.col("doc_id").alias("essay_id"), "title", "url", "date", "raw_date_str", "read",
         F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last_seen"),
     )
-    key = F.regexp_replace(F.to_json(F.struct(F.col("doc_id").alias("k"))), F.lit(r'^\{"k":|\}$'), F.lit(""))
-    entry = F.concat(key, F.lit(": "), F.to_json(record, {"ignoreNullFields": "false"}))
+    entry = F.concat(_text_of(F.col("doc_id")), F.lit(": "), F.to_json(record, {"ignoreNullFields": "false"}))
     first = registry.agg(F.min("first_pos")).scalar()
     entries = registry.select(
         F.lit(1).alias("rank"),
@@ -71,15 +105,7 @@ def parse_state_lines(lines: DataFrame) -> DataFrame:
     entries = lines.filter(~F.startswith("value", F.lit('{"last_update"')) & (F.col("value") != "}}"))
     body = F.regexp_replace("value", F.lit(r"^,"), F.lit(""))
     one = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), f"map<string,{_RECORD}>")
-    return entries.select(F.explode(one).alias("doc_id", "e")).select(
-        "doc_id",
-        F.coalesce("e.title", F.lit("")).alias("title"),
-        F.coalesce("e.url", F.lit("")).alias("url"),
-        "e.date",
-        "e.raw_date_str",
-        F.coalesce("e.read", F.lit(False)).alias("read"),
-        F.try_to_timestamp("e.last_seen").alias("last_seen"),
-    )
+    return entries.select(F.explode(one).alias("doc_id", "e")).select("doc_id", *_registry_columns("e"))
 
 
 def read_state_parts(spark: SparkSession, path: str) -> DataFrame:
