@@ -94,6 +94,18 @@ def written_collections(spark, sf_dir):
     return spark.read.parquet(f"{path}/spine").join(written, ["collection", "doc_id"]).select("collection", "doc_id", "ordinal")
 
 
+@query("SNK4_book_in_order", f"""
+  SELECT collection, doc_id, ordinal, CAST((ordinal - 1) // 100 AS INTEGER) AS part,
+         CAST((ordinal - 1) % 100 + 1 AS BIGINT) AS place FROM ({_SPINE})""")
+def book_in_order(spark, sf_dir):
+    """Written chapters with the place each has in its file, read as the file lies."""
+    made, path = _collections(spark, sf_dir), _folder(spark)
+    spine = chapters.spine(made, exact_parallel=False)
+    pages.write_collection(made, spine, chapters.toc(made, spine), spine.groupBy("collection").count(), path, chapters_a_part=100)
+    stored = spark.read.parquet(f"{path}/chapters").withColumn("collection", F.col("collection").cast("string"))
+    return stored.select("collection", "doc_id", "ordinal", "part", (F.col("_metadata.row_index") + 1).alias("place"))
+
+
 def _ordered_sql(way: str) -> str:
     return f"SELECT '{way}' AS way, collection, doc_id, row_number() OVER (PARTITION BY collection ORDER BY {_order_sql(way)}) AS ordinal FROM ({_DOCS})"
 

@@ -86,7 +86,8 @@ def build_chapters(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Documents with ``content_html`` to chapters; thin ones are dropped. Narrow.
 
     Stored content carries its text length as ``n_chars``; the gate is then a filter the Parquet scan applies, and a
-    caller that needs only the keys never reads the text. Without the column the length is measured here.
+    caller that needs only the keys never reads the text. Without the column the length is measured here. A chapter with
+    a character of content has a visible body, so C4 is only looked at where the gate lets empty content through.
 
     Keeps doc_id, title, date, raw_date_str, read, first_pos and adds chapter_id, chapter_title, html.
     """
@@ -95,7 +96,7 @@ def build_chapters(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
         docs = settled(docs.withColumn("n_chars", content_length(F.col("content_html"))))
     kept = docs.filter(F.col("n_chars") >= rules.min_chapter)
     shown = display_date(F.col("raw_date_str"), F.col("date"), unknown=None)
-    return kept.select(
+    made = kept.select(
         "doc_id",
         "title",
         "date",
@@ -106,6 +107,7 @@ def build_chapters(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
         chapter_title(F.col("title"), F.col("raw_date_str"), F.col("date")).alias("chapter_title"),
         chapter_html(F.col("title"), F.col("content_html"), shown).alias("html"),
     )
+    return made if rules.min_chapter > 0 else settled(made).filter(has_body(F.col("html")))
 
 
 def clashing_keys(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

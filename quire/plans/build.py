@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.urls import safe_key
@@ -122,7 +122,8 @@ def compile_collection(
     made = ch.build_chapters(docs, rules).withColumn("collection", F.lit(name))
     spine = ch.spine(made, order=order, exact_parallel=by_range)
     sizes = spine.groupBy("collection").agg(F.count(F.lit(1)).alias("n_chapters"))
-    return Collection(made, spine, ch.toc(made, spine), ch.with_metadata(sizes, run_date, rules), shown_images(content, spine))
+    images = with_image_data(shown_images(content, spine), content)
+    return Collection(made, spine, ch.toc(made, spine), ch.with_metadata(sizes, run_date, rules), images)
 
 
 def shown_images(content: DataFrame, spine: DataFrame) -> DataFrame:
@@ -132,6 +133,19 @@ def shown_images(content: DataFrame, spine: DataFrame) -> DataFrame:
     return collection_images(files, spine.select("collection", "ordinal", "doc_id")).drop("url")
 
 
+def with_image_data(shown: DataFrame, content: DataFrame) -> DataFrame:
+    """The files of ``shown_images`` with their bytes, out of the content of the chapter they are credited to.
+
+    The files of a document are gathered first (as many as it shows), so its pictures meet them once and are not copied.
+    """
+    own = [c for c in shown.columns if c != "doc_id"]
+    wanted = shown.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("__files"))
+    found = wanted.join(content.select("doc_id", "images"), "doc_id")
+    data = lambda f: F.get(F.filter("images", lambda i: i["filename"] == f["file_name"]), F.lit(0))["data"]
+    files = F.transform("__files", lambda f: F.struct(*[f[c].alias(c) for c in own], data(f).alias("data")))
+    return found.select("doc_id", F.inline(files)).select(*shown.columns, "data")
+
+
 def build(
     spark: SparkSession,
     root: str,
@@ -149,7 +163,8 @@ def build(
 
     normal: index links are registered, documents without content are parsed and stored; rebuild: the registry drives
     and only stored content is used; force: a new content generation, then as normal. Every stage is written before the
-    next reads it, so no page is parsed twice and a lost executor repeats one stage only.
+    next reads it, so no page is parsed twice and a lost executor repeats one stage only. Of the counts (N5), what was
+    on hand comes from file footers and what was parsed is observed by the tasks that write it.
     """
     ch.check_order(order)
     mode = incremental.build_mode(rebuild, force_refresh)
@@ -172,9 +187,11 @@ def build(
         table.write(registry.upsert(table.read(), listing, run_at, rules))
         docs = incremental.listed_in_registry(listing.select("doc_id").distinct(), table.read())
         todo = docs.join(store.read().select("doc_id"), "doc_id", "left_anti")
-        batch = store.append(parse_pages(pages, todo, rules, images))
+        stored = Observation()
+        parsed = parse_pages(pages, todo, rules, images).observe(stored, F.count(F.lit(1)).alias("n"))
+        batch = store.append(parsed)
+        n_new = stored.get["n"]
         new_content = spark.read.schema(CONTENT_SCHEMA).parquet(store._batches().path_of(batch))
-        n_new = new_content.count()
         table.write(with_page_dates(table.read(), new_content, store.read()))
         docs = incremental.listed_in_registry(docs.select("doc_id"), table.read())
     collection = compile_collection(docs, store.read(), run_at.date(), order, rules=rules)

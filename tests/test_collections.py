@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import chapters
 from quire.operators.ranking import numbered
 from quire.rules import DEFAULT
+from quire.sources.pages import read_chapters, write_collection
 
 
 def documents(n=200, seed=1):
@@ -103,3 +104,32 @@ def test_spine_toc_and_metadata(spark):
 def test_clashing_keys(spark):
     df = spark.createDataFrame([("a/b.html",), ("a_b.html",), ("c",)], "doc_id string")
     assert [(r.safe_key, r.n_docs) for r in chapters.clashing_keys(df).collect()] == [("a_b", 2)]
+
+
+def test_empty_bodies_are_left_out_where_the_gate_is_open(spark):
+    rows = [("a", "", '<img src="x.png"/>'), ("b", "T", '<img src="x.png"/>'), ("c", "", "seen"), ("d", "", " ")]
+    df = spark.createDataFrame([(d, t, None, None, False, 0, c) for d, t, c in rows],
+        "doc_id string, title string, date string, raw_date_str string, read boolean, first_pos long, content_html string")
+    made = chapters.build_chapters(df, DEFAULT.but(min_chapter=0))
+    assert sorted(r.doc_id for r in made.collect()) == ["b", "c", "d"]  # d says that it has no content
+
+
+def test_written_chapters_lie_in_reading_order(spark, tmp_path):
+    n = 95
+    made = spark.range(n).selectExpr("cast(id as string) doc_id", "if(id < 90, 'big', 'small') collection", "repeat('x', 10) html")
+    order = spark.range(n).selectExpr("cast(id as string) doc_id", "if(id < 90, 'big', 'small') collection", "if(id < 90, 90 - id, id - 89) ordinal")
+    root = str(tmp_path / "book")
+    write_collection(made, order, order, order.limit(1), root, chapters_a_part=10)
+    parts = spark.read.parquet(f"{root}/chapters").groupBy("collection", "part").agg(
+        F.count("*").alias("n"), F.count_distinct("_metadata.file_path").alias("files"), F.max("ordinal").alias("last"))
+    assert {(r.collection, r.part, r.n, r.files, r.last) for r in parts.collect()} == {
+        *[("big", k, 10, 1, 10 * k + 10) for k in range(9)], ("small", 0, 5, 1, 5)}
+    book = read_chapters(spark, root, "big", chapters_a_part=10)
+    streamed = [r.ordinal for k in range(9) for r in book.where(f"part = {k}").toLocalIterator()]
+    assert streamed == list(range(1, 91))
+    some = read_chapters(spark, root, "big", 12, 19, chapters_a_part=10)
+    assert [(r.doc_id, r.ordinal) for r in some.collect()] == [(str(90 - k), k) for k in range(12, 20)]
+    filters = some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "part#" in filters and "collection#" in filters
+    write_collection(made.withColumn("collection", F.lit("007")), order.withColumn("collection", F.lit("007")), order, order.limit(1), root)
+    assert read_chapters(spark, root, "007").count() == n

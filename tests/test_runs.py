@@ -95,7 +95,8 @@ def test_images_reach_content_and_collection(spark, site, tmp_path):
     book, _ = build(spark, root, shown, index, AT, rules=RULES, output=out, images=images)
     stored = {r.doc_id: [bytes(i.data) for i in r.images] for r in ContentStore(spark, f"{root}/content").read().collect()}
     assert stored["a.html"] == stored["b.html"] == [b"GIF"]
-    assert [(r.ordinal, r.doc_id) for r in spark.read.parquet(f"{out}/images").collect()] == [(1, "a.html")]
+    written = spark.read.parquet(f"{out}/images").collect()
+    assert [(r.ordinal, r.doc_id, r.file_name[-4:], bytes(r.data)) for r in written] == [(1, "a.html", ".gif", b"GIF")]
 
 
 def land(spark, folder, rows):
