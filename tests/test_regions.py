@@ -1,4 +1,3 @@
-import random
 import time
 import timeit
 import tracemalloc
@@ -75,53 +74,29 @@ def test_one_element_of_every_kind_of_parent(spark):
     assert after(spark, long_link, regions.remove_lone_links) == "y" * 80
 
 
-def sequential_removal(children, container):
-    """Reference behaviour on one container of texts and links, written as the obvious loop over a list."""
-    nodes = list(children)
-
-    def size(ns):
-        return sum(len(t.strip()) for _, t in ns)
-
-    for node in [n for n in nodes if n[0] == "a"]:
-        at = next(i for i, n in enumerate(nodes) if n is node)
-        length = len(node[1].strip())
-        if length >= 80:
-            continue
-        if container in ("li", "td", "font") and size(nodes) < length + 10:
-            del nodes[at]
-            continue
-        ok = True
-        for j in (at - 1, at + 1):
-            if 0 <= j < len(nodes):
-                kind, text = nodes[j]
-                ok &= kind == "a" or (kind == "t" and text.strip() == "")
-        if ok:
-            del nodes[at]
-    return "".join(t.strip() for _, t in nodes)
-
-
-def test_lone_links_equal_a_sequential_loop(spark):
-    rng = random.Random(7)
-    cases = []
-    for i in range(300):
-        children, last = [], None
-        for _ in range(rng.randint(0, 6)):
-            kind = rng.choice("atb")
-            if kind == last == "t":
-                continue
-            text = rng.choice(["", " ", "xy", "word " * rng.randint(1, 3)]) if kind == "t" else "l" * rng.choice([1, 5, 12, 79, 80])
-            if kind == "t" and text == "":
-                continue
-            children.append((kind, text))
-            last = kind
-        cases.append((i, rng.choice(["li", "td", "font", "p"]), children))
-    html = {"a": "<a href=x>{}</a>", "t": "{}", "b": "<i>{}</i>"}
-    df = spark.createDataFrame(
-        [(i, f"<{c}>" + "".join(html[k].format(t) for k, t in ch) + f"</{c}>") for i, c, ch in cases], "id int, html string"
-    )
-    bare = df.select("id", markup.skeleton(F.col("html")).alias("bare")).transform(regions.remove_lone_links)
-    ours = {r.id: r.t for r in bare.select("id", markup.node_text(F.col("bare")).alias("t")).collect()}
-    assert ours == {i: sequential_removal(ch, c) for i, c, ch in cases}
+WORDS, FIVE, LONG_ONE = "word word word", "<a href=x>lllll</a>", "<a href=x>" + "m" * 12 + "</a>"
+
+
+@pytest.mark.parametrize(
+    "html, left",
+    [
+        (f"<li>{FIVE}xy</li>", "xy"),  # little else in a list item
+        (f"<li>{FIVE}{WORDS}</li>", "lllll" + WORDS),
+        (f"<td>{WORDS}{FIVE} and more</td>", WORDS + "llllland more"),
+        (f"<p>{FIVE}xy</p>", "lllllxy"),  # no container, text beside it
+        (f"<p>{FIVE} {FIVE}</p>", ""),  # blanks and other links beside it
+        (f"<p>{FIVE}<i>xy</i></p>", "lllllxy"),
+        (f"<font><a href=x>{'l' * 79}</a></font>", ""),
+        (f"<font><a href=x>{'l' * 80}</a></font>", "l" * 80),
+        (f"<li>xy{LONG_ONE}<i>wordword</i>{FIVE}</li>", "xy" + "m" * 12 + "wordword" + "lllll"),
+        # the first stands alone; what it leaves is little beside the second, which does not
+        (f"<li>{LONG_ONE} {LONG_ONE}<i>wordword</i></li>", "wordword"),
+        (f"<p>{LONG_ONE} {LONG_ONE}<i>wordword</i></p>", "m" * 12 + "wordword"),
+        (f"<td>{LONG_ONE}{LONG_ONE}word word</td>", "word word"),
+    ],
+)
+def test_lone_links(spark, html, left):
+    assert after(spark, html, regions.remove_lone_links) == left
 
 
 PAGE = """<html><body><table><tr><td><font size="2" face="verdana">{}</font></td></tr></table></body></html>"""
