@@ -120,7 +120,7 @@ def _reversible_query(name: str, order: str):
     )
     def run(spark, sf_dir):
         known = registry_table(spark, sf_dir).select("doc_id", "date", "title", "read", "first_pos")
-        ranked = chapters.numbered(known, [F.lit(1)], chapters.reversible_order(order), "ordinal", True)
+        ranked = chapters.numbered(known, [F.lit(1)], chapters.reversible_keys(order), "ordinal", True)
         return ranked.select("doc_id", "ordinal")
 
 

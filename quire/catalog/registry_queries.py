@@ -228,7 +228,7 @@ def listed(spark, sf_dir):
 )
 def listing_order(spark, sf_dir):
     known = registry_table(spark, sf_dir).select("doc_id", "date", "title", "first_pos")
-    return numbered(known, [F.lit(1)], registry.listing_order(), "rank", True).select("doc_id", "rank")
+    return numbered(known, [F.lit(1)], registry.listing_keys(), "rank", True).select("doc_id", "rank")
 
 
 @query(
@@ -365,12 +365,12 @@ def listed_in_registry(spark, sf_dir):
         FROM (SELECT doc_id, strftime(CAST(date AS DATE), '%Y-01-01') AS date, 'same' AS title, read, first_pos FROM ({REGISTRY_SQL}))""",
 )
 def unread_before_read(spark, sf_dir):
-    from quire.operators.chapters import collection_order
+    from quire.operators.chapters import collection_keys
 
     tied = registry_table(spark, sf_dir).select(
         "doc_id", F.concat(F.substring("date", 1, 4), F.lit("-01-01")).alias("date"), F.lit("same").alias("title"), "read", "first_pos"
     )
-    return numbered(tied, [F.lit(1)], collection_order("asc"), "ordinal", True).select("doc_id", "ordinal")
+    return numbered(tied, [F.lit(1)], collection_keys("asc"), "ordinal", True).select("doc_id", "ordinal")
 
 
 @query(

@@ -11,7 +11,7 @@ from quire.functions import markup, urls
 from quire.functions.dates import display_date
 from quire.functions.text import escape_html, py_strip
 from quire.operators.content import content_length
-from quire.operators.ranking import numbered
+from quire.operators.ranking import Key, numbered
 from quire.operators.settle import settled
 from quire.rules import DATE_CLASS, DEFAULT, ORDERS, STYLESHEET, TOC_SECTION, Rules
 
@@ -65,21 +65,31 @@ def _undated() -> Column:
     return F.nullif(F.col("date"), F.lit("")).isNull()
 
 
-def collection_order(order: str = "desc") -> list[Column]:
+def collection_keys(order: str = "desc") -> list[Key]:
     """Dated documents by (date, title) one way or the other, undated ones always last by ascending title; unread
     before read on full ties."""
     check_order(order)
     date, dated_title = F.nullif(F.col("date"), F.lit("")), F.when(~_undated(), F.col("title"))
-    way = Column.asc if order == "asc" else Column.desc
-    return [_undated().asc(), way(date), way(dated_title), F.col("title").asc(), F.col("read").asc(), F.col("first_pos").asc()]
+    down = order == "desc"
+    return [Key(_undated()), Key(date, down), Key(dated_title, down), *map(Key, (F.col("title"), F.col("read"), F.col("first_pos")))]
 
 
-def reversible_order(order: str = "desc") -> list[Column]:
+def collection_order(order: str = "desc") -> list[Column]:
+    """C7 as sort columns."""
+    return [k.column() for k in collection_keys(order)]
+
+
+def reversible_keys(order: str = "desc") -> list[Key]:
     """The whole key reversed in descending order, so undated documents come first there."""
     check_order(order)
-    way = Column.asc if order == "asc" else Column.desc
+    down = order == "desc"
     key = F.coalesce(F.nullif(F.col("date"), F.lit("")), F.col("title"))
-    return [way(_undated()), way(key), F.col("read").asc(), F.col("first_pos").asc()]
+    return [Key(_undated(), down), Key(key, down), Key(F.col("read")), Key(F.col("first_pos"))]
+
+
+def reversible_order(order: str = "desc") -> list[Column]:
+    """C8 as sort columns."""
+    return [k.column() for k in reversible_keys(order)]
 
 
 def build_chapters(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -124,7 +134,7 @@ def spine(
     Only the sort keys travel, never the chapter text. See ``ranking.numbered`` for how one huge collection is spread.
     """
     keys = chapters.select(collection, "doc_id", "date", "title", "read", "first_pos")
-    ranked = numbered(keys, [F.col(collection)], collection_order(order), "ordinal", exact_parallel)
+    ranked = numbered(keys, [F.col(collection)], collection_keys(order), "ordinal", exact_parallel)
     return ranked.select(collection, "ordinal", "doc_id")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import strings
 from quire.functions.dates import display_date
+from quire.operators.ranking import Key
 from quire.rules import DEFAULT, Rules
 
 SCHEMA = (
@@ -168,10 +169,15 @@ def listed(registry: DataFrame, unread_only: bool = False, read_only: bool = Fal
     return read_documents(registry) if read_only else registry
 
 
-def listing_order() -> list[Column]:
+def listing_keys() -> list[Key]:
     """The whole key descending, so undated documents come first."""
     date = F.nullif(F.col("date"), F.lit(""))
-    return [date.isNull().desc(), date.desc(), F.col("title").desc(), F.col("first_pos").asc()]
+    return [Key(date.isNull(), True), Key(date, True), Key(F.col("title"), True), Key(F.col("first_pos"))]
+
+
+def listing_order() -> list[Column]:
+    """M13 as sort columns."""
+    return [k.column() for k in listing_keys()]
 
 
 def listing_row() -> Column:

@@ -3,8 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import chapters
-from quire.operators.ranking import numbered
+from quire.operators import chapters, ranking
+from quire.operators.ranking import Key, numbered, numbered_by_range, numbered_by_window
 from quire.rules import DEFAULT
 from quire.sources.pages import read_chapters, write_collection
 
@@ -52,13 +52,47 @@ def test_numbers_do_not_depend_on_partitions(spark):
     )
     seen = []
     for parts in (1, 5):
-        got = numbered(df.repartition(parts), [F.col("g")], [F.col("k").desc(), F.col("id").asc()], "n", True).collect()
+        got = numbered(df.repartition(parts), [F.col("g")], [Key(F.col("k"), True), Key(F.col("id"))], "n", True).collect()
         seen.append({(r.g, r.id): r.n for r in got})
     assert seen[0] == seen[1]
     big = sorted(((r[0][1] % 3, r[0][1]) for r in seen[0].items() if r[0][0] == "big"), key=lambda t: (-t[0], t[1]))
     assert [seen[0]["big", i] for _, i in big] == list(range(1, len(big) + 1))
 
 
+def test_ranges_equal_the_window_on_nulls_and_both_ways(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("g"), (F.col("id") % 2).cast("string"))).alias("g"),
+        F.when(F.col("id") % 5 > 0, F.sha2((F.col("id") % 40).cast("string"), 256)).alias("a"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 11).alias("b"), "id",
+    )
+    order = [Key(F.col("a"), True), Key(F.col("b")), Key(F.col("id"), True)]
+    want = {r.id: r.n for r in numbered_by_window(df, [F.col("g")], order, "n").collect()}
+    for ranges in (1, 3, 40, 200):
+        assert {r.id: r.n for r in numbered_by_range(df, [F.col("g")], order, "n", ranges).collect()} == want
+    assert numbered_by_range(df.limit(0), [F.col("g")], order, "n").collect() == []
+
+
+def test_ranges_of_one_hot_group_are_even_and_cost_no_job_beforehand(spark):
+    """All rows in one group, nearly all in one leading key."""
+    df = spark.range(40_000).select(F.lit("all").alias("g"), (F.col("id") % 50 == 0).alias("k"), F.xxhash64("id").alias("h"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("numbering", "")
+    ranked = numbered_by_range(df, [F.col("g")], [Key(F.col("k"), True), Key(F.col("h"))], "n", 32)
+    assert not tracker.getJobIdsForGroup("numbering")
+    spark.sparkContext.setJobGroup("rest", "")
+    sizes = ranking_ranges(df, [F.col("g")], [Key(F.col("k"), True), Key(F.col("h"))], 32)
+    assert sum(sizes) == 40_000 and len(sizes) >= 28 and max(sizes) < 3 * 40_000 / 32
+    assert ranked.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 40_000, 40_000)
+    assert "ExistingRDD" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def ranking_ranges(df, group, order, ranges):
+    """Rows of each range."""
+    names = [f"__key{i}" for i in range(len(group) + len(order))]
+    placed = ranking.placed_in_ranges(df, [*map(Key, group), *order], names, ranges)
+    return [r["count"] for r in placed.groupBy("__range").count().collect()]
+
+
 def test_order_is_validated(spark):
     with pytest.raises(ValueError):
         chapters.collection_order("newest")
