@@ -14,6 +14,7 @@ from quire.operators.ranking import numbered, scratch_folder
 from quire.operators.title_index import TitleIndex
 from quire.rules import DEFAULT
 from quire.sources import content_store, registry_json
+from quire.sources.content_store import ContentStore
 from quire.sources.hashed import Registry
 from quire.streaming.ingest import PageIngest
 
@@ -128,6 +129,13 @@ def point_lookup(spark, sf_dir):
     return registry.get_document(registry_table(spark, sf_dir), "42").select("doc_id", "title", "url")
 
 
+@query("M5_point_lookup_in_place", f"SELECT doc_id, title, url FROM ({REGISTRY_SQL}) WHERE doc_id IN (SELECT CAST(r_regionkey * 40 + 2 AS VARCHAR) FROM region)")
+def point_lookup_in_place(spark, sf_dir):
+    """A document for each region, from the partitions and row groups that can hold it."""
+    keys = [r[0] for r in load(spark, sf_dir, "region").select((F.col("r_regionkey") * 40 + 2).cast("string")).collect()]
+    return _stored_registry(spark, sf_dir).get(keys).select("doc_id", "title", "url")
+
+
 @query("M6_all_documents", f"SELECT doc_id, title, date, read, first_pos FROM ({REGISTRY_SQL})")
 def all_documents(spark, sf_dir):
     return registry.all_documents(registry_table(spark, sf_dir)).select("doc_id", "title", "date", "read", "first_pos")
@@ -277,6 +285,40 @@ def is_stored(spark, sf_dir):
     return incremental.is_stored(registry_table(spark, sf_dir).select("doc_id"), stored_content(spark, sf_dir))
 
 
+def _content_store(spark, sf_dir):
+    """Stored content in the shared scratch folder, in two batches."""
+    store = ContentStore(spark, f"{scratch_folder(spark)}/content-{uuid.uuid4().hex}")
+    none = F.lit(None).cast("string")
+    rows = stored_content(spark, sf_dir).select(
+        "doc_id", *[none.alias(c) for c in ("url", "title")], incremental.content_key(F.col("doc_id")).alias("safe_key"), "content_html",
+        F.length("content_html").alias("n_chars"), none.alias("page_date"), none.alias("page_raw_date"),
+        F.array().cast("array<struct<filename:string,data:binary>>").alias("images"),
+    )
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    store.append(rows.where(first))
+    store.append(rows.where(~first))
+    return store
+
+
+_ASKED = "SELECT CAST(s_suppkey * 3 AS VARCHAR) AS doc_id FROM supplier"
+
+
+def _asked(spark, sf_dir):
+    return load(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).cast("string").alias("doc_id"))
+
+
+@query("SRC5_looked_up", f"SELECT doc_id FROM ({_ASKED}) WHERE doc_id IN (SELECT doc_id FROM ({CONTENT_SQL}))")
+def looked_up(spark, sf_dir):
+    docs = _asked(spark, sf_dir)
+    return incremental.is_stored(docs, _content_store(spark, sf_dir).read_for(docs))
+
+
+@query("N1_missing_by_lookup", f"SELECT doc_id FROM ({_ASKED}) WHERE doc_id NOT IN (SELECT doc_id FROM ({CONTENT_SQL}))")
+def missing_by_lookup(spark, sf_dir):
+    docs = _asked(spark, sf_dir)
+    return incremental.missing(docs, _content_store(spark, sf_dir).read_for(docs))
+
+
 _NEW = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang || ' new' AS content_html FROM documents WHERE source = 'src3'"
 
 

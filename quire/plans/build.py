@@ -186,7 +186,7 @@ def build(
             raise ValueError("the index lists no documents")
         table.write(registry.upsert(table.read(), listing, run_at, rules))
         docs = incremental.listed_in_registry(listing.select("doc_id").distinct(), table.read())
-        todo = docs.join(store.read().select("doc_id"), "doc_id", "left_anti")
+        todo = docs.join(store.read_for(listing).select("doc_id"), "doc_id", "left_anti")
         stored = Observation()
         parsed = parse_pages(pages, todo, rules, images).observe(stored, F.count(F.lit(1)).alias("n"))
         batch = store.append(parsed)

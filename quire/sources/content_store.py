@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import plain_base64
+from quire.sources.key_lookup import narrowed
 from quire.sources.versioned import VersionedTable
 
 SCHEMA = (
@@ -30,7 +31,7 @@ class ContentStore:
         return known[-1] if known else 0
 
     def _batches(self) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/g={self.generation():06d}", SCHEMA)
+        return VersionedTable(self.spark, f"{self.root}/g={self.generation():06d}", SCHEMA, "doc_id")
 
     def batches(self) -> list[int]:
         return self._batches().versions()
@@ -43,6 +44,10 @@ class ContentStore:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*paths)
 
+    def read_for(self, docs: DataFrame) -> DataFrame:
+        """SRC5, N1: content to join with ``docs`` by doc_id; for a few documents most row groups are skipped."""
+        return narrowed(self.read(), docs)
+
     def append(self, rows: DataFrame, batch: int | None = None) -> int:
         """SNK2: add a batch of documents without content so far."""
         return self._batches().write(rows, batch)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import registry
 from quire.rules import DEFAULT, Rules
+from quire.sources.key_lookup import is_one_of, with_key_filter
 
 PART = "part"
 
@@ -43,13 +44,14 @@ class HashedTable:
     def get(self, keys: list) -> DataFrame:
         """M5: the rows of a few keys; other partitions are not listed, and other row groups not read."""
         parts = self.spark.range(1).select(F.array_distinct(F.transform(F.array(*map(F.lit, keys)), self._part))).first()[0]
-        return self._stored().where(F.col(PART).isin(parts) & F.col(self.key).isin(keys)).select(*self.columns)
+        return self._stored().where(F.col(PART).isin(parts) & is_one_of(F.col(self.key), keys)).select(*self.columns)
 
     def _write(self, rows: DataFrame) -> None:
         placed = rows.select(*self.columns).withColumn(PART, self._part(F.col(self.key)))
         # one task, and so one file, for a partition; AQE splits or joins none of them
         placed = placed.repartition(self.parts, PART).sortWithinPartitions(PART, self.key)
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.root)
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART)
+        with_key_filter(writer, self.key).parquet(self.root)
 
     def replace(self, rows: DataFrame) -> None:
         """Write all rows; partitions without any stay as they are, so this is for a new table."""

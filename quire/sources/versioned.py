@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.sources.key_lookup import with_key_filter
+
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str | None = None):
+        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
 
     def _files(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -50,6 +52,8 @@ class VersionedTable:
         writer = df.select(*columns).write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
+        if self.key:
+            writer = with_key_filter(writer, self.key)
         writer.parquet(self.path_of(target))
         return target
 
