@@ -80,13 +80,15 @@ REGISTRY_SQL = """
 
 def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, orders = (load(spark, sf_dir, t) for t in ("documents", "labels", "orders"))
+    # titles are cut before the joins, so that texts do not travel
+    docs = docs.select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"))
     joined = docs.join(orders, docs.doc_id == orders.o_orderkey, "left").join(
         labels.select(F.col("doc_id").alias("l_id"), "quality"), docs.doc_id == F.col("l_id"), "left"
     )
     status, day = F.col("o_orderstatus"), F.col("o_orderdate")
     return joined.select(
         F.col("doc_id").cast("string").alias("doc_id"),
-        F.substring_index("text", "\n", 1).alias("title"),
+        "title",
         F.concat(F.lit("https://example.org/"), "source").alias("url"),
         F.when(status != "P", F.date_format(day, "yyyy-MM-01")).alias("date"),
         F.when(status == "F", F.date_format(day, "MMMM yyyy")).when(status == "O", "").alias("raw_date_str"),

@@ -98,18 +98,18 @@ def _order_sql(way: str) -> str:
                title, read, first_pos"""
 
 
-def _spine_query(name: str, order: str, by_range: bool):
+def _spine_query(name: str, order: str):
     @query(
         name,
         f"SELECT collection, doc_id, row_number() OVER (PARTITION BY collection ORDER BY {_order_sql(order)}) AS ordinal FROM ({_DOCS})",
     )
     def run(spark, sf_dir):
-        return chapters.spine(_content(spark, sf_dir), order=order, exact_parallel=by_range)
+        return chapters.spine(_content(spark, sf_dir), order=order)
 
 
-_spine_query("C7_reading_order_newest_first", "desc", False)
-_spine_query("C7_reading_order_oldest_first", "asc", False)
-_spine_query("C7_reading_order_by_ranges", "desc", True)
+_spine_query("C7_reading_order_newest_first", "desc")
+_spine_query("C7_reading_order_oldest_first", "asc")
+_spine_query("C7_reading_order_by_ranges", "desc")
 
 
 def _reversible_query(name: str, order: str):
