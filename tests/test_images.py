@@ -8,7 +8,7 @@ from quire.catalog import image_files
 from quire.operators import images
 from quire.rules import DEFAULT
 from quire.sources.binary_files import write_files
-from quire.sources.pages import read_images
+from quire.sources.pages import folders_for, read_image_folders, read_images
 
 
 def png(width, height):
@@ -104,3 +104,39 @@ def test_written_images_are_read_back(spark, tmp_path):
     assert sorted((r.path.rsplit("/", 1)[-1], r.suffix[1:], r.width, r.height) for r in found) == sorted(
         (f"{w}x{h}.{k}", k, w, h) for k, w, h in sizes if k != "bad"
     )
+
+
+def test_folders_are_listed_one_at_a_time(spark, tmp_path, monkeypatch):
+    """1,300 files in 13 folders: no listing has more than a folder's share, and all are read."""
+    from quire.sources import pages
+
+    monkeypatch.setattr(pages, "FILES_A_FOLDER", 100)
+    sizes = [(f"{i}.{image_files.KINDS[i % 4] if i % 4 < 3 else 'jpg'}", image_files.KINDS[i % 4], 1 + i % 7, 2 + i % 5) for i in range(1300)]
+    df = spark.createDataFrame(sizes, "name string, kind string, width int, height int").repartition(5)
+    listed, plain = [], pages.read_images
+
+    def watched(session, path):
+        found = plain(session, path)
+        listed.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(pages, "read_images", watched)
+    folders = folders_for(len(sizes))
+    write_files(df.mapInPandas(image_files.encode, "name string, data binary"), str(tmp_path / "out"), folders)
+    found = read_image_folders(spark, str(tmp_path / "out"), folders, str(tmp_path / "sizes")).collect()
+    assert sorted((r.path.rsplit("/", 1)[-1], r.suffix[1:], r.width, r.height) for r in found) == sorted(
+        (n, k, w, h) for n, k, w, h in sizes if k != "bad"
+    )
+    assert folders == len(listed) == 13 and max(listed) < 1300 / 4 and (tmp_path / "out" / "_SUCCESS").exists()
+
+
+def test_no_files_in_a_folder(spark, tmp_path):
+    write_files(spark.createDataFrame([], "name string, data binary"), str(tmp_path / "out"), folders_for(0))
+    assert read_image_folders(spark, str(tmp_path / "out"), 1, str(tmp_path / "sizes")).count() == 0
+
+
+def test_bytes_of_files_do_not_travel_for_sizes(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png(5, 6))
+    plan = read_images(spark, str(tmp_path)).drop("data")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Join")[0]
+    assert "data#" not in above and "content#" not in above
