@@ -84,12 +84,25 @@ def cleared_registry(spark, sf_dir):
     return table.read().agg(F.lit(cleared).cast("long").alias("cleared"), F.count(F.lit(1)).alias("remaining"))
 
 
-@query("SNK4_written_collections", f"SELECT collection, doc_id, ordinal FROM ({_SPINE})")
-def written_collections(spark, sf_dir):
+def _write_book(spark, sf_dir, **options) -> str:
+    """The folder of the written collections. What order and contents need of the chapters is stored first, and so is the
+    order: texts are read once for that and once for the chapters themselves."""
     made, path = _collections(spark, sf_dir), _folder(spark)
-    spine = chapters.spine(made, exact_parallel=False)
+    keys = _stored(made.select("collection", "doc_id", "date", "title", "read", "first_pos", "chapter_title", "chapter_id"), f"{path}-keys")
+    spine = _stored(chapters.spine(keys), f"{path}-order")
     sizes = spine.groupBy("collection").count()
-    pages.write_collection(made, spine, chapters.toc(made, spine), sizes, path)
+    pages.write_collection(made, spine, chapters.toc(keys, spine), sizes, path, **options)
+    return path
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@query("SNK4_written_collections", f"SELECT collection, doc_id, ordinal FROM ({_SPINE})")
+def written_collections(spark, sf_dir):
+    path = _write_book(spark, sf_dir)
     written = spark.read.parquet(f"{path}/chapters").select("doc_id", F.col("collection").cast("string").alias("collection"))
     return spark.read.parquet(f"{path}/spine").join(written, ["collection", "doc_id"]).select("collection", "doc_id", "ordinal")
 
@@ -99,9 +112,7 @@ def written_collections(spark, sf_dir):
          CAST((ordinal - 1) % 100 + 1 AS BIGINT) AS place FROM ({_SPINE})""")
 def book_in_order(spark, sf_dir):
     """Written chapters with the place each has in its file, read as the file lies."""
-    made, path = _collections(spark, sf_dir), _folder(spark)
-    spine = chapters.spine(made, exact_parallel=False)
-    pages.write_collection(made, spine, chapters.toc(made, spine), spine.groupBy("collection").count(), path, chapters_a_part=100)
+    path = _write_book(spark, sf_dir, chapters_a_part=100)
     stored = spark.read.parquet(f"{path}/chapters").withColumn("collection", F.col("collection").cast("string"))
     return stored.select("collection", "doc_id", "ordinal", "part", (F.col("_metadata.row_index") + 1).alias("place"))
 

@@ -92,14 +92,15 @@ def reversible_order(order: str = "desc") -> list[Column]:
     return [k.column() for k in reversible_keys(order)]
 
 
-def build_chapters(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+def build_chapters(docs: DataFrame, rules: Rules = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents with ``content_html`` to chapters; thin ones are dropped. Narrow.
 
     Stored content carries its text length as ``n_chars``; the gate is then a filter the Parquet scan applies, and a
     caller that needs only the keys never reads the text. Without the column the length is measured here. A chapter with
     a character of content has a visible body, so C4 is only looked at where the gate lets empty content through.
 
-    Keeps doc_id, title, date, raw_date_str, read, first_pos and adds chapter_id, chapter_title, html.
+    Keeps doc_id, title, date, raw_date_str, read, first_pos and the columns named in ``keep``, and adds chapter_id,
+    chapter_title, html.
     """
     docs = docs.withColumn("content_html", markup.strip_wrappers(F.col("content_html")))
     if "n_chars" not in docs.columns:
@@ -113,6 +114,7 @@ def build_chapters(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
         "raw_date_str",
         "read",
         "first_pos",
+        *keep,
         urls.chapter_id(F.col("doc_id")).alias("chapter_id"),
         chapter_title(F.col("title"), F.col("raw_date_str"), F.col("date")).alias("chapter_title"),
         chapter_html(F.col("title"), F.col("content_html"), shown).alias("html"),

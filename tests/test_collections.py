@@ -159,3 +159,26 @@ def test_written_chapters_lie_in_reading_order(spark, tmp_path):
     assert "part#" in filters and "collection#" in filters
     write_collection(made.withColumn("collection", F.lit("007")), order.withColumn("collection", F.lit("007")), order, order.limit(1), root)
     assert read_chapters(spark, root, "007").count() == n
+
+
+def test_keys_of_chapters_shuffle_no_text(spark, tmp_path):
+    """What order and contents need of the collections is planned without text in any shuffle, and without a join with itself."""
+    from quire.catalog.collection_queries import _collections
+
+    made = _collections(spark, "/root/testdata/sf0.001")
+    assert "html" in made.columns and "collection" in made.columns
+    plan = made.select("collection", "doc_id", "date", "title", "read", "first_pos", "chapter_title")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 3  # orders, labels, documents
+    above = plan.split("Generate")[0]
+    assert "content_html" not in above
+
+
+def test_chapters_are_gated_by_the_length_measured_where_texts_are_read(spark, tmp_path):
+    from quire.catalog.collection_queries import _collections, _content
+    from quire.operators.content import content_length
+
+    docs = _content(spark, "/root/testdata/sf0.001", measured=True)
+    assert docs.where(F.col("n_chars") != content_length(F.col("content_html"))).count() == 0
+    want = {r.doc_id for r in docs.where(content_length(F.col("content_html")) >= DEFAULT.min_chapter).select("doc_id").collect()}
+    assert {r.doc_id for r in _collections(spark, "/root/testdata/sf0.001").select("doc_id").collect()} == want
