@@ -127,6 +127,19 @@ def in_ring(rows: DataFrame, key: str) -> DataFrame:
     return settle(numbered.join(after, "idx").drop("idx", "size"), "ring")
 
 
+def edited_texts(rows: DataFrame, ring: DataFrame) -> DataFrame:
+    """(k, h, text, edited) of ``rows`` (k, h, text): the last half of each text replaced by the first as much of the next.
+
+    Heads of the next text go to the key of the document before, are made one there and stay for the join.
+    """
+    asked = ring.selectExpr("next_k AS k", "next_h AS h", "k AS to_k", "h AS to_h", "n_chars div 2 AS n")
+    heads = rows.select("k", "h", "text").join(asked, ["k", "h"]).selectExpr("to_k AS k", "to_h AS h", "n", "left(text, int(n)) AS head")
+    heads = heads.groupBy("k", "h").agg(F.first("n").alias("n"), F.first("head").alias("head"))  # copies of the next document are one
+    return rows.select("k", "h", "text").join(heads, ["k", "h"]).selectExpr(
+        "k", "h", "text", "concat(left(text, int(length(text) - n)), head) AS edited"
+    )
+
+
 def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, copies, n_chars, edited_sha256, n_near, and p0, p1 of the text, the edited text and the next document's text:
     p0.., e0.., x0..) of every document.
@@ -144,12 +157,7 @@ def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "tex
         F.col(key).cast("long").alias(key), own.alias("text"),
     )
     ring = in_ring(rows, key)
-    asked = ring.selectExpr("next_k AS k", "next_h AS h", "k AS to_k", "h AS to_h", "n_chars div 2 AS n")
-    heads = rows.select("k", "h", "text").join(asked, ["k", "h"]).selectExpr("to_k AS k", "to_h AS h", "n", "left(text, int(n)) AS head")
-    heads = heads.groupBy("k", "h", "n").agg(F.first("head").alias("head"))  # copies of the next document are one
-    edited = rows.select("k", "h", "text").join(heads, ["k", "h"]).selectExpr(
-        "k", "h", "text", "concat(left(text, int(length(text) - n)), head) AS edited"
-    )
+    edited = edited_texts(rows, ring)
     both = "inline(array(struct('p' AS kind, text), struct('e' AS kind, edited AS text)))"
     texts = edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).selectExpr("k", "h", "edited_sha256", both)
     prints = settle(fingerprints(texts, ["k", "h", "edited_sha256", "kind"]), "prints")

@@ -100,3 +100,18 @@ def test_near_counts_find_all_pairs_once(spark, monkeypatch, cell):
     got = fp.near_counts(spark.createDataFrame(rows * 2, "p0 long, p1 long")).collect()
     want = {(signed(x & 2**64 - 1), signed(x >> 64)): sum(0 < (x ^ y).bit_count() <= fp.RADIUS for y in prints) for x in prints}
     assert {(r["p0"], r["p1"]): r["n_near"] for r in got} == {k: n for k, n in want.items() if n}
+
+
+def test_heads_are_shuffled_once(spark):
+    """To the document before them, by the key they are joined on."""
+    rows = spark.createDataFrame([(i, i, f"text {i}") for i in range(9)], "k long, h long, text string")
+    ring = spark.createDataFrame([(i, i, 6, (i + 1) % 9, (i + 1) % 9) for i in range(9)], "k long, h long, n_chars int, next_k long, next_h long")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edited = fp.edited_texts(rows, ring)
+        plan = edited._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, edited.select("k", "edited").collect())) == [(i, "tex" + "tex") for i in range(9)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 4  # texts twice, which is one, what is asked, heads
